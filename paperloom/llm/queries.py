@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import groups, increments, neighbours, survivor
+from paperloom.llm import abuse, groups, increments, language, neighbours, packing, survivor, tokens
 from paperloom.sources.tables import load
 
 
@@ -37,4 +37,37 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(load(spark, d, "visual_regions"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p3_found, p3_decisions, p4_found, p6_found)}
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_labels(load(spark, d, "images"), load(spark, d, "lang_samples"))
+
+
+def p7_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment of every text with its language and confidence."""
+    images, samples = load(spark, d, "images"), load(spark, d, "lang_samples")
+    return language.text_segments(images, language.model_of(images, samples))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encoded(load(spark, d, "documents"))
+
+
+def p9_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or piece of one that exceeds the capacity, in a container of each capacity."""
+    items = tokens.lengths(load(spark, d, "documents")).withColumnRenamed("doc_id", "item_id")
+    return packing.packed(items, load(spark, d, "pack_capacities"))
+
+
+def p9_used(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and share of space used per capacity."""
+    return packing.use_of_space(p9_packed(spark, d), load(spark, d, "pack_capacities"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.content_kinds(load(spark, d, "documents"), load(spark, d, "content_labels"))
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return abuse.rates(load(spark, d, "documents"), load(spark, d, "content_labels"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p3_found, p3_decisions, p4_found, p6_found, p7_found, p7_segments, p8_ids, p9_packed, p9_used, p10_found, p10_rates)}
