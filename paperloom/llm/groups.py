@@ -3,7 +3,7 @@
 Connected components by low-diameter decomposition.  On every level each
 vertex draws a shift from an exponential distribution (cut off at ``ROUNDS``)
 and clusters grow from their centres, the earliest start first, for ``ROUNDS``
-steps of one edge each.  Clusters are contracted to super-vertices, the edges
+steps of one edge each (vertices with a single neighbour start last).  Clusters are contracted to super-vertices, the edges
 between clusters form the next level's graph, and the assignments of all
 levels are composed from the top down.  A level keeps a constant share of the
 vertices in expectation, stars and chains alike, so the work is a geometric
@@ -30,16 +30,22 @@ def _edges(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), (a.isNotNull() & b.isNotNull() & (a != b)).alias("ok")).where("ok").select("a", "b").distinct()
 
 
-def decompose(edges: DataFrame, level: int) -> DataFrame:
-    """One low-diameter decomposition: (id, centre) for every vertex of ``edges``."""
-    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    draw = (F.xxhash64(F.lit(level), "u").bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
-    shift = F.least(-F.log(draw) / BETA, F.lit(float(ROUNDS)))
-    state = both.select("u").distinct().select("u", F.struct((F.lit(float(ROUNDS)) - shift).alias("at"), F.xxhash64(F.lit(level), "u").alias("tie"), F.col("u").alias("centre")).alias("best"))
+def decompose(edges: DataFrame) -> DataFrame:
+    """One low-diameter decomposition of (a, b, level): (id, centre) for every vertex.
+
+    A vertex with one neighbour starts last, so the neighbour absorbs it (of
+    two such vertices the smaller id absorbs the other).  The level is data, not
+    a literal, so every level runs the same compiled code.
+    """
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"), "level").unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v"), "level"))
+    draw = (F.xxhash64("level", "u").bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
+    start = F.greatest(ROUNDS + F.log(draw) / BETA, draw * 1e-6)
+    start = F.when(F.col("n") > 1, start).otherwise(F.lit(2.0 * ROUNDS) + F.when(F.col("u") < F.col("low"), 0.0).otherwise(2.0))
+    state = both.groupBy("u").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.first("level").alias("level")).select("u", start.alias("at"), F.col("u").alias("centre"))
     for _ in range(ROUNDS):
-        reached = both.join(state, "u").select(F.col("v").alias("u"), F.struct((F.col("best.at") + 1.0).alias("at"), F.col("best.tie").alias("tie"), F.col("best.centre").alias("centre")).alias("best"))
-        state = state.unionAll(reached).groupBy("u").agg(F.min("best").alias("best"))
-    return state.select(F.col("u").alias("id"), F.col("best.centre").alias("centre"))
+        reached = both.join(state, "u").select(F.col("v").alias("u"), (F.col("at") + 1.0).alias("at"), "centre")
+        state = state.unionAll(reached).groupBy("u").agg(F.min_by("centre", "at").alias("centre"), F.min("at").alias("at")).select("u", "at", "centre")
+    return state.select(F.col("u").alias("id"), "centre")
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -52,21 +58,23 @@ def components(pairs: DataFrame) -> DataFrame:
     """
     spark = pairs.sparkSession
     scratch = Scratch(spark)
-    edges, levels, level = scratch.put(_edges(pairs)), [], 0
+    edges, levels = scratch.put(_edges(pairs).withColumn("level", F.lit(0))), []
     while not edges.isEmpty():
-        assigned = scratch.put(decompose(edges, level))
+        assigned = scratch.put(decompose(edges))
         left, right = assigned.select(F.col("id").alias("a"), F.col("centre").alias("ca")), assigned.select(F.col("id").alias("b"), F.col("centre").alias("cb"))
-        crossing = edges.join(left, "a").join(right, "b").where("ca <> cb").select("ca", "cb")
-        smaller = scratch.put(_edges(crossing))
+        crossing = edges.join(left, "a").join(right, "b").where("ca <> cb").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b"), (F.col("level") + 1).alias("level"))
+        smaller = scratch.put(crossing.distinct())
         scratch.drop(edges)
         levels.append(assigned)
-        edges, level = smaller, level + 1
+        edges = smaller
     if not levels:
         return spark.createDataFrame([], "id long, group_id long")
     top = levels.pop()
-    for lower in reversed(levels):
+    for n, lower in enumerate(reversed(levels), 1):
         up = top.select(F.col("id").alias("centre"), F.col("centre").alias("higher"))
         top = lower.join(up, "centre", "left").select("id", F.coalesce("higher", "centre").alias("centre"))
+        if n % 4 == 0:
+            top = scratch.put(top)
     top = scratch.put(top)
     smallest = top.groupBy("centre").agg(F.min("id").alias("group_id"))
     return top.join(smallest, "centre").select("id", "group_id")
