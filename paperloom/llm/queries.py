@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import abuse, groups, increments, language, neighbours, packing, survivor, tokens
+from paperloom.llm import abuse, groups, increments, language, neighbours, packing, scans, survivor, tokens
 from paperloom.sources.tables import load
 
 
@@ -33,6 +33,15 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return groups.image_groups(load(spark, d, "images"), load(spark, d, "image_relationships"))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.scan_defects(load(spark, d, "images"))
+
+
+def p5_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every scan text as continuous paragraphs."""
+    return scans.repaired_texts(load(spark, d, "images"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(load(spark, d, "visual_regions"))
 
@@ -70,4 +79,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(load(spark, d, "documents"), load(spark, d, "content_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p3_found, p3_decisions, p4_found, p6_found, p7_found, p7_segments, p8_ids, p9_packed, p9_used, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p3_found, p3_decisions, p4_found, p5_found, p5_texts, p6_found, p7_found, p7_segments, p8_ids, p9_packed, p9_used, p10_found, p10_rates)}
