@@ -344,7 +344,7 @@ def fitted(documents: DataFrame, labels: DataFrame) -> bytes:
         votes = pdf[list(KINDS)].to_dict("records")
         return pd.DataFrame({"model": [train(pdf.text.tolist(), votes).pack()]})
 
-    got = rows.groupBy(F.lit(0)).applyInPandas(run, "model binary").collect()
+    got = rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, "model binary").collect()
     return bytes(got[0].model) if got else train([], []).pack()
 
 

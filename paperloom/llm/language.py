@@ -14,6 +14,7 @@ Field lines, names, numbers and short fragments are no sentences.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,7 +48,7 @@ PER_CLASS = 800
 MARGIN = 0.05
 #: A further language of a text needs a sentence with this margin.
 SURE = 0.15
-BREAKS = r"(?<=[.!?।॥])[\s\p{Z}]+|[\s\p{Z}]*[|\n\r\f  ]+[\s\p{Z}]*"
+BREAKS = r"(?<=[.!?।॥])\s+|\s*[|\n\r\f\u2028\u2029]\s*"
 LEAST_WORDS = 3
 
 
@@ -62,19 +63,23 @@ def label_of(c: Column) -> Column:
 
 _DEVA, _LATIN = regex.compile(r"\p{Devanagari}"), regex.compile(r"\p{Latin}")
 _WORD = regex.compile(r"[\p{L}\p{M}]{2,}")
-_MASK = regex.compile(r"\S*@\S*|\S*\p{N}\S*")
+_DIGIT = re.compile(r"[\d@]")
 _FIELD = regex.compile(r"^[\p{L}\p{M}\s./-]{1,28}[:：]")
-_BREAK = regex.compile(BREAKS)
+_BREAK = re.compile(BREAKS)
 
 
 def script(text: str) -> str | None:
+    if text.isascii():
+        return "L" if sum(map(str.isalpha, text)) >= 4 else None
     d, n = len(_DEVA.findall(text)), len(_LATIN.findall(text))
     return None if d + n < 4 else "D" if d >= n else "L"
 
 
 def plain(sentence: str) -> str:
     """The sentence with numbers and addresses masked and blanks collapsed."""
-    return " ".join(_MASK.sub("0", sentence).split())
+    if not _DIGIT.search(sentence):
+        return " ".join(sentence.split())
+    return " ".join([w if w.isalpha() or not _DIGIT.search(w) else "0" for w in sentence.split()])
 
 
 def units(text: str | None) -> list[tuple[int, str]]:
@@ -94,9 +99,8 @@ def is_sentence(s: str) -> bool:
     t = s.rstrip(" \t\"'»”)")
     if not t or t[-1] not in ".!?।॥" or _FIELD.match(s.strip()):
         return False
-    words = [w for w in _WORD.findall(_MASK.sub(" ", s))]
-    common = [w for w in words if not w[0].isupper()]
-    return len(words) >= LEAST_WORDS and len(common) >= 2
+    words = _WORD.findall(" ".join([w for w in s.split() if not _DIGIT.search(w)]))
+    return len(words) >= LEAST_WORDS and sum(not w[0].isupper() for w in words) >= 2
 
 
 def reference_sentences(images: DataFrame, samples: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -117,8 +121,9 @@ def reference_sentences(images: DataFrame, samples: DataFrame, per_class: int =
             rows: dict[tuple, list[int]] = {}
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for _, s in units(text):
-                    if is_sentence(s) and (guess := model.classify(s)[0]):
-                        n = rows.setdefault((guess, script(s), plain(s)[:400]), [0, 0])
+                    if guess := model.classify(s)[0]:
+                        key = plain(s)
+                        n = rows.setdefault((guess, script(key), key), [0, 0])
                         n[0] += guess == label
                         n[1] += 1
             if rows:
@@ -158,13 +163,15 @@ class Classifier:
         self.known: dict[str, tuple[str | None, float]] = {}
 
     def classify(self, text: str) -> tuple[str | None, float]:
-        """(language, margin); no language if the margin is narrow or no dictionary fits."""
+        """(language, margin) of a sentence; no language for what is no sentence, or if the margin is narrow."""
         key = plain(text)
+        if (text.rstrip()[-1:] or " ") not in "।॥.!?\"'»”)":
+            return None, 0.0
         if key in self.known:
             return self.known[key]
-        kind, out = script(key), (None, 0.0)
+        kind, out = script(key) if is_sentence(text) else None, (None, 0.0)
         if kind:
-            raw = (" " + key + " ").encode()
+            raw = (" " + key + " ").encode("utf-8", "surrogatepass")
             size: dict[str, int] = {}
             for lang, coder in self.coders[kind]:
                 size[lang] = min(size.get(lang, 1 << 30), len(coder.compress(raw)) - 6)
@@ -184,7 +191,7 @@ def segments(model: Classifier, text: str | None) -> list[tuple[int, int, str |
     the most margin if none is sure.  A unit that is no sentence, or of no such
     language, joins the segment before it (the first one, if it comes first).
     """
-    named = [(o, s, *(model.classify(s) if is_sentence(s) else (None, 0.0))) for o, s in units(text)]
+    named = [(o, s, *model.classify(s)) for o, s in units(text)]
     total: dict[str, float] = {}
     for _, _, lang, margin in named:
         if lang:

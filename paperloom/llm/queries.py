@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperloom.llm import abuse, groups, increments, language, neighbours, packing, scans, survivor, tokens
+from paperloom.llm import abuse, groups, increments, language, neighbours, packing, privacy, scans, survivor, tokens
 from paperloom.sources.tables import load
 
 
@@ -18,6 +18,15 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
     return survivor.merged_records(survivor.unpivoted(images, survivor.pointer_groups(images)))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return privacy.protected_values(load(spark, d, "images"), load(spark, d, "metadata"), load(spark, d, "name_parts"))
+
+
+def p2_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every text with typed placeholders in place of protected values."""
+    return privacy.sanitised(load(spark, d, "images"), load(spark, d, "metadata"), load(spark, d, "name_parts"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return increments.duplicate_uploads(load(spark, d, "images"), load(spark, d, "incoming_uploads"))
 
@@ -79,4 +88,4 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
     return abuse.rates(load(spark, d, "documents"), load(spark, d, "content_labels"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p3_found, p3_decisions, p4_found, p5_found, p5_texts, p6_found, p7_found, p7_segments, p8_ids, p9_packed, p9_used, p10_found, p10_rates)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_texts, p3_found, p3_decisions, p4_found, p5_found, p5_texts, p6_found, p7_found, p7_segments, p8_ids, p9_packed, p9_used, p10_found, p10_rates)}
