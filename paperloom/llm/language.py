@@ -47,8 +47,8 @@ WORDS = {
 PER_CLASS = 800
 MARGIN = 0.05
 #: A further language of a text needs a sentence with this margin.
-SURE = 0.15
-BREAKS = r"(?<=[.!?।॥])\s+|\s*[|\n\r\f\u2028\u2029]\s*"
+SURE = 0.25
+BREAKS = r"(?<=[.!?।॥])\s+|\s*\|\s*|\s*[\n\r\f\u2028\u2029]\s*(?![a-zà-ÿ\d\s])"  # a line that goes on in lower case or with a number continues the sentence
 LEAST_WORDS = 3
 
 
@@ -66,6 +66,7 @@ _WORD = regex.compile(r"[\p{L}\p{M}]{2,}")
 _DIGIT = re.compile(r"[\d@]")
 _FIELD = regex.compile(r"^[\p{L}\p{M}\s./-]{1,28}[:：]")
 _BREAK = re.compile(BREAKS)
+_END_NUMBER = re.compile(r"(?:^|\s)0$")
 
 
 def script(text: str) -> str | None:
@@ -97,6 +98,8 @@ def units(text: str | None) -> list[tuple[int, str]]:
 def is_sentence(s: str) -> bool:
     """A closed sentence of several words that is no field line."""
     t = s.rstrip(" \t\"'»”)")
+    if t[-1:] == "0" and _END_NUMBER.search(t):  # a masked number or address at the end took the stop with it
+        t += "."
     if not t or t[-1] not in ".!?।॥" or _FIELD.match(s.strip()):
         return False
     words = _WORD.findall(" ".join([w for w in s.split() if not _DIGIT.search(w)]))
@@ -106,33 +109,44 @@ def is_sentence(s: str) -> bool:
 def reference_sentences(images: DataFrame, samples: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """(lang, script, sentence, n): the most frequent sentences of each language over all texts.
 
-    Sentences are counted with digits masked.  A first classifier of the clean
-    samples and function words names each one; it serves as reference where the
-    labels of its texts agree often enough, so neither wrong labels nor a weak
-    first guess decide alone.  At most ``per_class`` rows per language and
-    script leave the executors, whatever the size of the corpus.
+    Sentences are counted with digits masked, per label of their texts.  One
+    serves as reference for the language that a first classifier of the clean
+    samples and function words names, if the labels agree often enough, or else
+    for the label that most of its occurrences bear; so neither wrong labels
+    nor a weak first guess decide alone.  At most ``per_class`` rows per
+    language and script leave the executors, whatever the size of the corpus.
     """
     empty = pd.DataFrame({"lang": [], "script": [], "sentence": [], "n": []})
     seed = dictionaries(empty, samples.select("text", "lang").toPandas(), lonely=True)
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Classifier(seed)
+        place = {x: i for i, x in enumerate(LANGUAGES)}
         for b in batches:
-            rows: dict[tuple, list[int]] = {}
+            rows: dict[str, list[int]] = {}
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for _, s in units(text):
-                    if guess := model.classify(s)[0]:
-                        key = plain(s)
-                        n = rows.setdefault((guess, script(key), key), [0, 0])
-                        n[0] += guess == label
-                        n[1] += 1
+                    if model.sentence(s):
+                        rows.setdefault(plain(s), [0] * len(LANGUAGES))[place[label]] += 1
             if rows:
                 keys = list(rows)
-                yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array([n[i] for n in rows.values()], pa.int64()) for i in range(2)], ["lang", "script", "sentence", "n", "seen"])
+                counts = [pa.array([n[i] for n in rows.values()], pa.int64()) for i in range(len(LANGUAGES))]
+                yield pa.RecordBatch.from_arrays([pa.array([script(k) for k in keys], pa.string()), pa.array(keys, pa.string()), pa.array([model.classify(k)[0] for k in keys], pa.string()), *counts], ["script", "sentence", "guess", *LANGUAGES])
 
     labelled = images.select("extracted_text", label_of(F.col("ocr_lang")).alias("label")).where("label is not null and extracted_text is not null")
-    counts = labelled.mapInArrow(split, "lang string, script string, sentence string, n long, seen long").groupBy("lang", "script", "sentence").agg(F.sum("n").alias("n"), F.sum("seen").alias("seen"))
-    ranked = counts.where("n >= 2 and n >= 0.4 * seen").withColumn("r", F.row_number().over(Window.partitionBy("lang", "script").orderBy(F.desc("n"), "sentence"))).where(F.col("r") <= per_class)
+    schema = "script string, sentence string, guess string, " + ", ".join(f"{x} long" for x in LANGUAGES)
+    counts = labelled.mapInArrow(split, schema).where("script is not null").groupBy("script", "sentence", "guess").agg(*[F.sum(x).alias(x) for x in LANGUAGES])
+    # names are masked for the vote of the labels, so that copies of one text do not outvote a form of sentence
+    counts = counts.withColumn("form", F.regexp_replace("sentence", r"(?<=.)(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]*", "^"))
+    forms = counts.groupBy("script", "form").agg(*[F.sum(x).alias(f"all_{x}") for x in LANGUAGES])
+    counts = counts.join(forms, ["script", "form"])
+    seen, most = sum(F.col(f"all_{x}") for x in LANGUAGES), F.greatest(*[f"all_{x}" for x in LANGUAGES])
+    guessed = F.coalesce(*[F.when(F.col("guess") == x, F.col(f"all_{x}")) for x in LANGUAGES], F.lit(0))
+    by_guess = (guessed >= 3) & (guessed >= 0.4 * seen)
+    by_label = F.col("guess").isNull() & (most >= 5) & (most >= 0.6 * seen)
+    lang = F.when(by_guess, F.col("guess")).when(by_label, F.coalesce(*[F.when(F.col(f"all_{x}") == most, F.lit(x)) for x in LANGUAGES]))
+    named = counts.select("script", "sentence", lang.alias("lang"), sum(F.col(x) for x in LANGUAGES).alias("n")).where("lang is not null")
+    ranked = named.withColumn("r", F.row_number().over(Window.partitionBy("lang", "script").orderBy(F.desc("n"), "sentence"))).where(F.col("r") <= per_class)
     return ranked.select("lang", "script", "sentence", "n")
 
 
@@ -162,14 +176,16 @@ class Classifier:
             self.coders[kind].append((lang, zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)))
         self.known: dict[str, tuple[str | None, float]] = {}
 
+    def sentence(self, text: str) -> bool:
+        """Whether a unit is a sentence."""
+        return (text.rstrip()[-1:] or " ") in "।॥.!?\"'»”)" and is_sentence(text)
+
     def classify(self, text: str) -> tuple[str | None, float]:
         """(language, margin) of a sentence; no language for what is no sentence, or if the margin is narrow."""
         key = plain(text)
-        if (text.rstrip()[-1:] or " ") not in "।॥.!?\"'»”)":
-            return None, 0.0
         if key in self.known:
             return self.known[key]
-        kind, out = script(key) if is_sentence(text) else None, (None, 0.0)
+        kind, out = script(key) if self.sentence(text) else None, (None, 0.0)
         if kind:
             raw = (" " + key + " ").encode("utf-8", "surrogatepass")
             size: dict[str, int] = {}
