@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from paperloom.plans import entity_queries, record_queries, score_queries, search_queries  # noqa: F401
+from paperloom.plans.registry import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "fused_search"
