@@ -68,11 +68,14 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+_ADDRESS_SIGN = re.compile(r"\d\w?\s*[,/]|\d\s+[A-Z][\w@]+\s+[SLRMA]|[Rr]ue\s|Calle|Avenida|Plaza|N[o0]\.?\s")
 _ADDRESS = regex.compile(
     r"(?<![\p{L}\p{N}])(?:F[l1I|][a@]t\s+(?:No\.?\s*)?[\dlOISBo]{1,4}\s?-?\p{L}?\s*,|H\.?\s?N[o0]\.?\s*[\dlOISBo]{1,4}\s?/\s?[\dlOISBo]{1,4}\s*,|House\s+N[o0]\.?\s*[\dlOISBo]{1,4}[/\-\d\p{L}]*\s*,|P[l1I|][o0]t\s+N[o0]\.?\s*[\dlOISBo]{1,4}\s*,|[Dd]oor\s+No\.?\s*\d+"
     r"|[\dlOISBo]{1,4}\s+\p{Lu}[\p{L}\d@]+\s+(?:Street|Lane|Road|Marg|Avenue|Stree[tf]|L[a@]n[ec]|R[o0][a@]d|M[a@]rg|Av[ec]nu[ec])\s*,\s*\p{Lu}|\p{Lu}[\p{L}\d@]+(?:g[a@][s5][s5][ec]|stra(?:ss|ß)e|weg|platz|allee)\s+[\dlOISBo]{1,4}\s*,\s*[\dlOISBo]{4,5}\s+\p{Lu}"
     r"|\d{1,4}\s*,?\s+[Rr]ue\s+\p{Lu}|(?:Calle|Avenida|Plaza)\s+\p{Lu}\p{L}+\s*,?\s*\d)"
 )
+# a text without such a group of digits has neither numbers of persons nor of telephones
+_NUMBER = re.compile(r"[A-Z0158]{3}[\dOlIS]{4}|[\d][\dOoIlS|B]{3}[\s.\-]?[\dOoIlS|B]{3}|[\dOoIlS|B]{3}[)\s\-]{1,2}[\dOoIlS|B]{3,4}[\s\-][\dOoIlS|B]{4}")
 # strong forms: only the kind has them; weak ones need a disclosing term
 _PHONE_STRONG = re.compile(
     rf"(?<![\w/.,+\-])(?:\(?\+{_L}{{1,3}}\)?[\s.\-]{{0,2}}(?:{_L}[\s.\-]?){{7,12}}{_L}|\({_L}{{3,5}}\)\s?{_L}{{3,4}}[-\s]?{_L}{{4}}|{_L}{{5}}[\s\-]{_L}{{5,6}}|{_L}{{5}}-{_L}{{3}}-{_L}{{3}}|{_L}{{3}}-{_L}{{3}}-{_L}{{4}}|{_L}{{3,4}}-{_L}{{4}}\s{_L}{{4}})(?!\w|[/\-]\d|[.,]\d)"
@@ -124,7 +127,11 @@ class Run:
             follow = follow[1:]
         nxt = follow[0] if follow else ""
         self.right = f"{close} (email" if nxt.startswith("(") and _SIGN.search(rest) else f"{close} {canonical(nxt)}"
-        self.org_at = next((k for k, (_, w) in enumerate(words) if _kind(w)), -1)
+        self.org_at = -1
+        for k, (_, w) in enumerate(words):
+            if _kind(w):
+                self.org_at = k
+                break
         if self.org_at < 0 and not close:
             near = next((k for k, w in enumerate(follow[:2]) if _kind(w.rstrip(_END))), -1)
             if near >= 0 and (near == 0 or follow[0][:1].isupper() or not follow[0][:1].isalpha()):
@@ -199,7 +206,7 @@ def observe(text: str, register: set[str]) -> dict[tuple[str, str], list[int]]:
             add("right", run.right, sure)
         for _, w in run.words:
             add("word", w.casefold(), sure)
-    for side, strong, weak in (("phone", _PHONE_STRONG, _PHONE_WEAK), ("identity", _ID_STRONG, _ID_WEAK)):
+    for side, strong, weak in (("phone", _PHONE_STRONG, _PHONE_WEAK), ("identity", _ID_STRONG, _ID_WEAK)) if _NUMBER.search(text) else ():
         for m in strong.finditer(text):
             if _digits(m.group()):
                 add(side, _before(text, m.start()), True)
@@ -227,11 +234,12 @@ def spans(text: str, terms: Terms) -> list[tuple[int, int, str]]:
 
     for a, b in emails(text):
         take(a, b, "email")
-    for m in _ADDRESS.finditer(text):
+    for m in _ADDRESS.finditer(text) if _ADDRESS_SIGN.search(text) else ():
         end = _POSTCODE.match(text, m.end())
         take(m.start(), max(m.end(), end.end() if end and end.end() - m.start() < 120 else 0), "address")
     ids: list[int] = []
-    for pattern, sure in ((_ID_STRONG, True), (_ID_WEAK, False)):
+    numbers = _NUMBER.search(text) is not None
+    for pattern, sure in ((_ID_STRONG, True), (_ID_WEAK, False)) if numbers else ():
         for m in pattern.finditer(text):
             s = m.group()
             if not _digits(s) and not (regex.fullmatch(r"[A-Z0158]{5}[0-9OlIS]{4}[A-Z0158]", s)):
@@ -245,7 +253,7 @@ def spans(text: str, terms: Terms) -> list[tuple[int, int, str]]:
             elif sure and rate is None and not labelled and not regex.search(r"(?:account|receipt|roll|transaction|utr|lot|meter|reading|reference|batch)\W*(?:no\.?|number)?\W*$", text[max(0, m.start() - 30) : m.start()], regex.I):
                 take(m.start(), m.end(), "identity")
                 ids.append(m.end())
-    for pattern, sure in ((_PHONE_STRONG, True), (_PHONE_WEAK, False)):
+    for pattern, sure in ((_PHONE_STRONG, True), (_PHONE_WEAK, False)) if numbers else ():
         for m in pattern.finditer(text):
             s = m.group()
             if not _digits(s) or not 9 <= sum(c.isalnum() or c == "|" for c in s) <= 14:
