@@ -249,7 +249,7 @@ def stratified_split(spark, d):
 
 @query("""SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2""")
 def stream_windows(spark, d):
-    return ingest.drain(ingest.windowed_counts(ingest.stream(spark, f"{d}/events.parquet", load(spark, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp")))).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return ingest.drain(ingest.windowed_counts(ingest.stream(spark, f"{d}/events.parque[t]", load(spark, d, "events").schema).withColumn("ts", F.col("ts").cast("timestamp")))).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 @query(f"""SELECT upload_id, CASE WHEN regexp_matches(lower(image_name), '{'|'.join(ingest.URGENT)}') THEN 0 ELSE 1 END AS priority FROM incoming_uploads WHERE image_name IS NOT NULL""")
