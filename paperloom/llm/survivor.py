@@ -52,7 +52,8 @@ def unpivoted(images: DataFrame, groups: DataFrame) -> DataFrame:
         trust = F.when(_plain(F.col("indexing_status")) == state, t).otherwise(trust)
     trust = F.when(F.col("is_quarantined"), trust * 0.1).otherwise(trust)
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), is_filled(f, F.col(f)).alias("filled")) for f in FIELDS])
-    rows = images.join(groups, "id").select("group_id", "id", "created_at", trust.alias("trust"), F.explode(cells).alias("cell"))
+    own = images.select("id", "created_at", "indexing_status", "is_quarantined", *FIELDS)
+    rows = own.join(groups.select("id", "group_id"), "id").select("group_id", "id", "created_at", trust.alias("trust"), F.explode(cells).alias("cell"))
     age = F.datediff(F.lit("2030-01-01").cast("date"), F.col("created_at").cast("date")).cast("double")
     decay = F.coalesce(F.exp2(-age / HALF_LIFE_DAYS) if hasattr(F, "exp2") else F.pow(F.lit(2.0), -age / HALF_LIFE_DAYS), F.lit(0.0))
     return rows.select("group_id", "id", "created_at", "cell.field", "cell.value", _plain(F.col("cell.value")).alias("key"), "cell.filled", (F.col("trust") * decay).alias("weight"))
