@@ -75,14 +75,14 @@ _ADDRESS = regex.compile(
     r"|\d{1,4}\s*,?\s+[Rr]ue\s+\p{Lu}|(?:Calle|Avenida|Plaza)\s+\p{Lu}\p{L}+\s*,?\s*\d)"
 )
 # a text without such a group of digits has neither numbers of persons nor of telephones
-_NUMBER = re.compile(r"[A-Z0158]{3}[\dOlIS]{4}|[\d][\dOoIlS|B]{3}[\s.\-]?[\dOoIlS|B]{3}|[\dOoIlS|B]{3}[)\s\-]{1,2}[\dOoIlS|B]{3,4}[\s\-][\dOoIlS|B]{4}")
+_NUMBER = re.compile(r"[A-Za-z0158]{3}[\dOlIS]{4}|[\d][\dOoIlS|B]{3}[\s.\-]?[\dOoIlS|B]{3}|[\dOoIlS|B]{3}[)\s\-]{1,2}[\dOoIlS|B]{3,4}[\s\-][\dOoIlS|B]{4}")
 # strong forms: only the kind has them; weak ones need a disclosing term
 _PHONE_STRONG = re.compile(
     rf"(?<![\w/.,+\-])(?:\(?\+{_L}{{1,3}}\)?[\s.\-]{{0,2}}(?:{_L}[\s.\-]?){{7,12}}{_L}|\({_L}{{3,5}}\)\s?{_L}{{3,4}}[-\s]?{_L}{{4}}|{_L}{{5}}[\s\-]{_L}{{5,6}}|{_L}{{5}}-{_L}{{3}}-{_L}{{3}}|{_L}{{3}}-{_L}{{3}}-{_L}{{4}}|{_L}{{3,4}}-{_L}{{4}}\s{_L}{{4}})(?!\w|[/\-]\d|[.,]\d)"
 )
 _PHONE_WEAK = re.compile(rf"(?<![\w/.,+@\-])(?:{_L}{{10,11}})(?![\w@]|[/\-]\d|[.,]\d)")
 _ID_STRONG = re.compile(rf"(?<![\w/+\-])(?:{_L}{{4}}([\s\-]){_L}{{4}}\1{_L}{{4}}|[A-Z]{{5}}{_D}{{4}}[A-Z]|[A-Z]{{3}}{_D}{{7}})(?!\w|[/\-]\d)")
-_ID_WEAK = re.compile(rf"(?<![\w/+\-@.])(?:{_L}{{12}}|[A-Z]\s?{_L}{{7}}|[A-Z0158]{{5}}{_L}{{4}}[A-Z0158]|[A-Z0158]{{3}}{_L}{{7}})(?![\w@]|[/\-]\d|[.,]\d)")
+_ID_WEAK = re.compile(rf"(?<![\w/+\-@.])(?:{_L}{{12}}|[A-Za-z]\s?{_L}{{7}}|[A-Za-z0158]{{5}}{_L}{{4}}[A-Za-z0158]|[A-Z0158]{{3}}{_L}{{7}}|[a-z]{{3}}{_D}{{7}})(?![\w@]|[/\-]\d|[.,]\d)")
 # Words of labels that end a run of capital words.
 LABELS = frozenset("pan uid uidai aadhaar aadhar passport voter epic permanent kyc age email e-mail phone mob tel telephone call contact address resident nominee patient".split())
 _WORD = r"(?:[A-Z]\.(?=\s)|[^\W\d_a-zà-ÿ][\w@|]*(?:-\w[\w@|]*)*)"
@@ -94,7 +94,7 @@ _PART = re.compile(_WORD)
 def _kind(word: str) -> bool:
     """Whether a word, perhaps misread, belongs to organisations or places."""
     w = word.casefold().rstrip(".")
-    return w in ORGANISATION or w in PLACE or len(w) >= 6 and any(len(w) == len(o) and sum(a != b for a, b in zip(w, o)) <= 2 for o in ORGANISATION if o[0] == w[0] or o[-1] == w[-1])
+    return w in ORGANISATION or w in PLACE or len(w) >= 6 and any(len(w) == len(o) and sum(a != b for a, b in zip(w, o)) <= (2 if len(w) >= 9 else 1) for o in ORGANISATION if o[0] == w[0] or o[-1] == w[-1])
 
 
 @lru_cache(100_000)
@@ -157,10 +157,14 @@ def runs(text: str) -> list[Run]:
 _END = ".,;:)>]}|\"'!?"
 
 
+#: Codes of letters and digits: tax and voter numbers.
+_CODE = re.compile(r"[A-Za-z0158]{5}[\dOlISB]{4}[A-Za-z0158]|[A-Z0158]{3}[\dOlISB]{7}|[a-z]{3}\d{7}")
+
+
 def _digits(s: str) -> bool:
     """Whether look-alike letters are few among the digits of a number."""
     n = sum(c.isdigit() for c in s)
-    return n >= 6 and sum(c.isalpha() or c == "|" for c in s) <= 2
+    return n >= 6 and sum(c.isalpha() or c == "|" for c in s) <= 2 or _CODE.fullmatch(s) is not None
 
 
 class Terms:
@@ -242,12 +246,12 @@ def spans(text: str, terms: Terms) -> list[tuple[int, int, str]]:
     for pattern, sure in ((_ID_STRONG, True), (_ID_WEAK, False)) if numbers else ():
         for m in pattern.finditer(text):
             s = m.group()
-            if not _digits(s) and not (regex.fullmatch(r"[A-Z0158]{5}[0-9OlIS]{4}[A-Z0158]", s)):
+            if not _digits(s):
                 continue
             term = _before(text, m.start())
             rate = terms.disclosure("identity", term)
             labelled = regex.search(_IDENTITY_LABEL, canonical_label(text[max(0, m.start() - 34) : m.start()]), regex.I) is not None
-            if (rate is not None and rate >= DISCLOSURE if not labelled else True) or sure and labelled:
+            if labelled or rate is not None and rate >= DISCLOSURE and not s[0].islower():
                 take(m.start(), m.end(), "identity")
                 ids.append(m.end())
             elif sure and rate is None and not labelled and not regex.search(r"(?:account|receipt|roll|transaction|utr|lot|meter|reading|reference|batch)\W*(?:no\.?|number)?\W*$", text[max(0, m.start() - 30) : m.start()], regex.I):
@@ -284,7 +288,7 @@ def spans(text: str, terms: Terms) -> list[tuple[int, int, str]]:
                 i += 1
             if _common(words[i][1], terms) or _kind(words[i][1]):
                 continue
-        end = i
+        end = i + 1 if len(words[i][1]) == 2 and i < j else i  # an initial needs the word after it
         while end < min(j, i + 3) and not _common(words[end + 1][1], terms):
             end += 1
         if len(words[i][1]) == 2 and end == i:
