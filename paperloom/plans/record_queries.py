@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import lexical, predicates as P, records as R
+from paperloom.operators import duplicates as DU, lexical, predicates as P, records as R
 from paperloom.plans.entity_queries import STRONG_SQL
 from paperloom.plans.registry import query
 from paperloom.sources.tables import load
@@ -255,3 +255,17 @@ def change_search(spark, d):
 SELECT id AS source, entity AS target, edge FROM m JOIN c USING (user_id, entity)""")
 def knowledge_graph(spark, d):
     return R.entity_graph(images(spark, d))
+
+
+_CLEAN = "(SELECT user_id, id, CASE WHEN regexp_full_match(s, '[0-9a-f]{64}') AND replace(s, left(s, 1), '') <> '' THEN s END AS s, CASE WHEN regexp_full_match(p, '[0-9a-f]{16}') AND replace(p, left(p, 1), '') <> '' THEN ('0x' || p)::UBIGINT END AS p FROM (SELECT user_id, id, " + _HASH.format(c="sha256_hash") + " AS s, " + _HASH.format(c="phash") + " AS p FROM images WHERE NOT coalesce(is_quarantined, false)))"
+
+
+@query(f"""WITH c AS {_CLEAN}, m AS (SELECT x.id, y.id AS other, CASE WHEN x.s = y.s THEN 1 WHEN x.p = y.p THEN 2 ELSE 3 END AS tier, CASE WHEN coalesce(x.s = y.s, false) OR x.p = y.p THEN 0 ELSE bit_count(xor(x.p, y.p)) END AS d FROM c x JOIN c y ON x.user_id = y.user_id AND y.id < x.id AND (x.s = y.s OR bit_count(xor(x.p, y.p)) <= 5))
+SELECT id, other AS match_id, CASE tier WHEN 1 THEN 'exact_binary' WHEN 2 THEN 'exact_phash' ELSE 'near_duplicate' END AS match_type, round(1 - d / 64.0, 4)::DOUBLE AS similarity FROM m QUALIFY row_number() OVER (PARTITION BY id ORDER BY tier, d, other) = 1""")
+def duplicate_cascade(spark, d):
+    return DU.cascade(images(spark, d))
+
+
+@query()
+def near_duplicate_groups(spark, d):
+    return DU.near_groups(images(spark, d))

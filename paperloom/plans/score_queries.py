@@ -79,13 +79,6 @@ def collapsed_search(spark, d):
     return R.collapse(fused_search(spark, d), canon)
 
 
-@query("""SELECT upload_id, min(dist)::INTEGER AS nearest FROM (SELECT u.upload_id, bit_count(xor(('0x' || u.phash)::UBIGINT, ('0x' || i.phash)::UBIGINT)) AS dist FROM incoming_uploads u JOIN images i ON i.user_id = u.user_id AND i.file_format = u.file_format WHERE regexp_full_match(u.phash, '[0-9a-f]{16}') AND regexp_full_match(i.phash, '[0-9a-f]{16}') AND left(u.phash, 3) = left(i.phash, 3)) GROUP BY 1""")
-def hash_distance(spark, d):
-    u = load(spark, d, "incoming_uploads").select("upload_id", "user_id", "file_format", "phash").where("phash rlike '^[0-9a-f]{16}$'").withColumn("head", F.substring("phash", 1, 3))
-    i = load(spark, d, "images").select("user_id", "file_format", F.col("phash").alias("other")).where("other rlike '^[0-9a-f]{16}$'").withColumn("head", F.substring("other", 1, 3))
-    return u.join(i, ["user_id", "file_format", "head"]).groupBy("upload_id").agg(F.min(S.hamming(F.col("phash"), F.col("other"))).cast("int").alias("nearest"))
-
-
 @query("SELECT l_orderkey, l_linenumber, round(0.35 * least(1.0, l_discount * 10) + 0.25 * least(1.0, l_tax * 10) + 0.15 * least(1.0, l_quantity / 50.0) + 0.10 * (CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END), 4) AS score FROM lineitem")
 def hybrid_score(spark, d):
     li = load(spark, d, "lineitem")

@@ -104,3 +104,33 @@ def test_instructions():
     assert (c.category, c.year, c.min_amount) == ("Bills & Invoices", "2026", 1000.0)
     assert I.parse_temporal("notices from march 2025")["month"] == 3
     assert I.route("", 1) == "none" and I.route("all", 1) == "browse" and I.route("42", 1) == "numeric" and I.route("bills", -1) == "none"
+
+
+def test_near_groups_are_greedy(spark):
+    import random
+
+    from paperloom.operators import duplicates as D
+
+    rng = random.Random(4)
+    seeds = [rng.getrandbits(64) for _ in range(4)]
+
+    def near():
+        h = rng.choice(seeds)
+        for _ in range(rng.randrange(8)):
+            h ^= 1 << rng.randrange(64)
+        return h
+
+    rows = [(i, 1, None, f"{near():016x}", False) for i in range(60)] + [(100, 1, None, "n/a", False)]
+    got = {r.id: r.canonical_id for r in D.near_groups(spark.createDataFrame(rows, "id long, user_id long, sha256_hash string, phash string, is_quarantined boolean")).collect()}
+    first, canon, want = {}, [], {}
+    for i, _, _, h, _ in rows[:-1]:
+        h = int(h, 16)
+        if h not in first:
+            close = sorted((bin(h ^ g).count("1"), j) for g, j in canon)
+            if close and close[0][0] <= 5:
+                first[h] = close[0][1]
+            else:
+                first[h] = i
+                canon.append((h, i))
+        want[i] = first[h]
+    assert got == want
