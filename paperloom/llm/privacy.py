@@ -14,6 +14,7 @@ nothing.  Found values are generalised to typed placeholders.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -228,20 +229,18 @@ def spans(text: str, terms: Terms) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     taken: list[tuple[int, int]] = []
 
-    def free(a: int, b: int) -> bool:
-        return all(b <= x or a >= y for x, y in taken)
-
     def take(a: int, b: int, kind: str) -> None:
-        if free(a, b):
+        k = bisect(taken, (a, b))
+        if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b):
             found.append((a, b, kind))
-            taken.append((a, b))
+            taken.insert(k, (a, b))
 
     for a, b in emails(text):
         take(a, b, "email")
     for m in _ADDRESS.finditer(text) if _ADDRESS_SIGN.search(text) else ():
         end = _POSTCODE.match(text, m.end())
         take(m.start(), max(m.end(), end.end() if end and end.end() - m.start() < 120 else 0), "address")
-    ids: list[int] = []
+    ids: set[int] = set()
     numbers = _NUMBER.search(text) is not None
     for pattern, sure in ((_ID_STRONG, True), (_ID_WEAK, False)) if numbers else ():
         for m in pattern.finditer(text):
@@ -253,17 +252,17 @@ def spans(text: str, terms: Terms) -> list[tuple[int, int, str]]:
             labelled = regex.search(_IDENTITY_LABEL, canonical_label(text[max(0, m.start() - 34) : m.start()]), regex.I) is not None
             if labelled or rate is not None and rate >= DISCLOSURE and not s[0].islower():
                 take(m.start(), m.end(), "identity")
-                ids.append(m.end())
+                ids.add(m.end())
             elif sure and rate is None and not labelled and not regex.search(r"(?:account|receipt|roll|transaction|utr|lot|meter|reading|reference|batch)\W*(?:no\.?|number)?\W*$", text[max(0, m.start() - 30) : m.start()], regex.I):
                 take(m.start(), m.end(), "identity")
-                ids.append(m.end())
+                ids.add(m.end())
     for pattern, sure in ((_PHONE_STRONG, True), (_PHONE_WEAK, False)) if numbers else ():
         for m in pattern.finditer(text):
             s = m.group()
             if not _digits(s) or not 9 <= sum(c.isalnum() or c == "|" for c in s) <= 14:
                 continue
             rate = terms.disclosure("phone", _before(text, m.start()))
-            after_id = any(0 <= m.start() - e <= 4 and text[e : m.start()].strip() in (",", "") for e in ids)
+            after_id = any(e in ids and text[e : m.start()].strip() in (",", "") for e in range(m.start() - 4, m.start() + 1))
             if after_id or (sure and (rate is None or rate >= DISCLOSURE)) or not sure and rate is not None and rate >= DISCLOSURE:
                 take(m.start(), m.end(), "phone")
     for run in runs(text):
