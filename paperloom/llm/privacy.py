@@ -70,10 +70,10 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 _ADDRESS_SIGN = re.compile(r"\d\w?\s*[,/]|\d\s+[A-Z][\w@]+\s+[SLRMA]|[Rr]ue\s|Calle|Avenida|Plaza|N[o0]\.?\s")
-_ADDRESS = regex.compile(
-    r"(?<![\p{L}\p{N}])(?:F[l1I|][a@]t\s+(?:No\.?\s*)?[\dlOISBo]{1,4}\s?-?\p{L}?\s*,|H\.?\s?N[o0]\.?\s*[\dlOISBo]{1,4}\s?/\s?[\dlOISBo]{1,4}\s*,|House\s+N[o0]\.?\s*[\dlOISBo]{1,4}[/\-\d\p{L}]*\s*,|P[l1I|][o0]t\s+N[o0]\.?\s*[\dlOISBo]{1,4}\s*,|[Dd]oor\s+No\.?\s*\d+"
-    r"|[\dlOISBo]{1,4}\s+\p{Lu}[\p{L}\d@]+\s+(?:Street|Lane|Road|Marg|Avenue|Stree[tf]|L[a@]n[ec]|R[o0][a@]d|M[a@]rg|Av[ec]nu[ec])\s*,\s*\p{Lu}|\p{Lu}[\p{L}\d@]+(?:g[a@][s5][s5][ec]|stra(?:ss|ß)e|weg|platz|allee)\s+[\dlOISBo]{1,4}\s*,\s*[\dlOISBo]{4,5}\s+\p{Lu}"
-    r"|\d{1,4}\s*,?\s+[Rr]ue\s+\p{Lu}|(?:Calle|Avenida|Plaza)\s+\p{Lu}\p{L}+\s*,?\s*\d)"
+_ADDRESS = re.compile(
+    r"(?<![^\W_])(?:F[l1I|][a@]t\s+(?:No\.?\s*)?[\dlOISBo]{1,4}\s?-?[A-Za-z]?\s*,|H\.?\s?N[o0]\.?\s*[\dlOISBo]{1,4}\s?/\s?[\dlOISBo]{1,4}\s*,|House\s+N[o0]\.?\s*[\dlOISBo]{1,4}[/\-\w]*\s*,|P[l1I|][o0]t\s+N[o0]\.?\s*[\dlOISBo]{1,4}\s*,|[Dd]oor\s+No\.?\s*\d+"
+    r"|[\dlOISBo]{1,4}\s+[A-Z][\w@]+\s+(?:Street|Lane|Road|Marg|Avenue|Stree[tf]|L[a@]n[ec]|R[o0][a@]d|M[a@]rg|Av[ec]nu[ec])\s*,\s*[A-Z]|[A-Z][\w@]+(?:g[a@][s5][s5][ec]|stra(?:ss|ß)e|weg|platz|allee)\s+[\dlOISBo]{1,4}\s*,\s*[\dlOISBo]{4,5}\s+[A-Z]"
+    r"|\d{1,4}\s*,?\s+[Rr]ue\s+[A-Z]|(?:Calle|Avenida|Plaza)\s+[A-Z]\w+\s*,?\s*\d)"
 )
 # a text without such a group of digits has neither numbers of persons nor of telephones
 _NUMBER = re.compile(r"[A-Za-z0158]{3}[\dOlIS]{4}|[\d][\dOoIlS|B]{3}[\s.\-]?[\dOoIlS|B]{3}|[\dOoIlS|B]{3}[)\s\-]{1,2}[\dOoIlS|B]{3,4}[\s\-][\dOoIlS|B]{4}")
@@ -114,7 +114,7 @@ class Run:
     def __init__(self, text: str, words: list[tuple[int, str]]):
         self.words = words
         first, (last, word) = words[0][0], words[-1]
-        lead = text[max(0, first - 44) : first].rstrip("\"'(<[{").split()
+        lead = text[max(0, first - 44) : first].rstrip("\"'(<[{").rsplit(None, 2)[-2:]
         # the end of a sentence, a bar or a number introduces nobody
         if lead and (lead[-1] == "|" or lead[-1][-1] in ".!?।,;" and len(lead[-1]) > 4 or any(map(str.isdigit, lead[-1]))):
             lead = []
@@ -143,10 +143,11 @@ class Run:
 def runs(text: str) -> list[Run]:
     out = []
     for m in _RUN.finditer(text):
-        part: list[tuple[int, str]] = []
-        for w in _PART.finditer(m.group()):
-            if _namelike(w.group()):
-                part.append((m.start() + w.start(), w.group()))
+        base, part = m.start(), []
+        for w in _PART.finditer(text, base, m.end()):
+            word = w.group()
+            if _namelike(word):
+                part.append((w.start(), word))
             elif part:
                 out.append(Run(text, part))
                 part = []
