@@ -112,12 +112,20 @@ def sentences(c: Column, least: int = 10) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: F.length(s) >= least)
 
 
+def let(c: Column, f) -> Column:  # noqa: ANN001
+    """``f`` of a value that is computed once; a plain reference inside a lambda would be computed at each element."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def windows(c: Column, size: int = 250, overlap: int = 50) -> Column:
     """Windows of ``size`` words that overlap; the last one ends with the text."""
-    w = F.filter(F.split(c, r"\s+"), lambda x: x != "")
     step = size - overlap
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(w) - overlap - 1) / step).cast("int") * step), F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, F.lit(size)), " "))
+
+    def cut(w: Column) -> Column:
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(w) - overlap - 1) / step).cast("int") * step), F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, F.lit(size)), " "))
+
+    return let(F.filter(F.split(c, r"\s+"), lambda x: x != ""), cut)
 
 
 def sanitized(c: Column) -> Column:

@@ -55,11 +55,14 @@ def best_sentence(c: Column, words: tuple[str, ...]) -> Column:
 
 def candidate_phrases(c: Column, most: int = 3) -> Column:
     """Distinct phrases of one to ``most`` words without stop words at their ends."""
-    w = F.transform(T.all_of(c, "[A-Za-z][A-Za-z0-9]+"), lambda x: F.lower(x))
     stop = F.array(*map(F.lit, T.STOPWORDS + T.MORE_STOPWORDS))
-    of = lambda n: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.slice(w, i, F.lit(n)))
-    runs = F.concat(*[of(n) for n in range(1, most + 1)])
-    kept = F.filter(runs, lambda p: ~F.array_contains(stop, F.element_at(p, 1)) & ~F.array_contains(stop, F.element_at(p, -1)))
+
+    def runs(w: Column) -> Column:
+        of = lambda n: F.transform(F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - (n - 1))).otherwise(F.array().cast("array<int>")), lambda i: F.slice(w, i, F.lit(n)))
+        return F.concat(*[of(n) for n in range(1, most + 1)])
+
+    words = F.transform(T.all_of(c, "[A-Za-z][A-Za-z0-9]+"), lambda x: F.lower(x))
+    kept = F.filter(T.let(words, runs), lambda p: ~F.array_contains(stop, F.element_at(p, 1)) & ~F.array_contains(stop, F.element_at(p, -1)))
     return F.array_distinct(F.transform(kept, lambda p: F.array_join(p, " ")))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, functions as F
 
 from paperloom.functions import text as T
@@ -29,8 +31,13 @@ def phrase_search(docs: DataFrame, phrase: str, key: str = "doc_id", text: str =
         return docs.sparkSession.createDataFrame([], f"{key} long, phrase_count long, score double")
     tokens = docs.select(key, T.index_tokens(F.col(text)).alias("toks")).where(F.col("toks").isNotNull())
     total = docs.select(F.count("*").alias("n_docs"))
-    with_all = tokens.where(F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains("toks", w)))
-    hits = F.size(F.filter(F.sequence(F.lit(0), F.size("toks") - 1), lambda i: F.slice("toks", i + 1, F.lit(len(words))) == F.array(*map(F.lit, words))))
+    every = F.lit(True)
+    for w in dict.fromkeys(words):
+        every = every & F.array_contains("toks", w)
+    with_all = tokens.where(every)
+    # counted in the joined words: a lambda over positions would split the text anew at each of them
+    joined = F.concat(F.lit(" "), F.array_join("toks", " "), F.lit(" "))
+    hits = F.regexp_count(joined, F.lit("(?<= )" + re.escape(" ".join(words)) + "(?= )"))
     counted = with_all.select(key, F.size("toks").alias("n_terms"), hits.cast("long").alias("phrase_count"))
     df = counted.select(F.count("*").alias("df"))
     factor = float(len(words)) if len(words) > 1 else 1.0
@@ -43,9 +50,10 @@ def proximity_search(docs: DataFrame, first: str, second: str, distance: int, ke
     """(key, min_distance, score): texts with both words at most ``distance`` words apart."""
     toks = docs.select(key, T.index_tokens(F.col(text)).alias("toks"))
     at = lambda w: F.filter(F.transform("toks", lambda x, i: F.when(x == w.lower(), i)), lambda p: p.isNotNull())
-    gaps = F.flatten(F.transform(at(first), lambda p: F.transform(at(second), lambda q: F.abs(p - q))))
+    places = toks.where(F.array_contains("toks", first.lower()) & F.array_contains("toks", second.lower())).select(key, F.explode(F.array(F.struct(at(first).alias("p"), at(second).alias("q")))).alias("at"))
+    gaps = F.flatten(F.transform("at.p", lambda p: F.transform("at.q", lambda q: F.abs(p - q))))
     nearest = F.array_min(F.filter(gaps, lambda g: (g > 0) & (g <= distance)))
-    found = toks.where(F.array_contains("toks", first.lower()) & F.array_contains("toks", second.lower())).select(key, nearest.alias("min_distance")).where("min_distance is not null")
+    found = places.select(key, nearest.alias("min_distance")).where("min_distance is not null")
     return found.select(key, F.col("min_distance").cast("long").alias("min_distance"), F.round(1.0 / (F.col("min_distance") + 0.5), 3).alias("score"))
 
 
