@@ -18,8 +18,11 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
@@ -170,11 +173,13 @@ class Vocabulary:
         return best[1] if best else None
 
 
-_ROMAN = r"(?=[ivxl])(?:x{0,3})(?:ix|iv|v?i{0,3})"
+_ROMAN = r"(?=[ivxlc])c{0,3}(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})"
 _NUMBER = r"[\dlIOoSBZ|]{1,4}"
 _EXPLICIT = regex.compile(rf"^(?:page|pg|p)\s*[.|:#-]?\s*{_NUMBER}(?:\s*(?:of|/)\s*{_NUMBER})?$|^\d{{1,4}}\s*/\s*\d{{1,4}}$|^\[\s*(?:{_NUMBER}|{_ROMAN})\s*\]$|^([-~–—*])\s*(?:{_NUMBER}|{_ROMAN})\s*\1$|^\(\s*\d{{1,4}}\s*\)$", regex.I)
 _BARE = regex.compile(r"^\d{1,4}$")
 _BARE_ROMAN = regex.compile(rf"^{_ROMAN}$")
+_BARE_ALIKE, _DIGITS = regex.compile(r"^(?=.*\d|[lI|]$)[\dlIOoSBZ|]{1,4}$"), str.maketrans("lIOoSBZ|", "11005821")
+_STROKES = str.maketrans("lI1|", "iiii")
 _EDGE_NUMBER = regex.compile(rf"^(?:\[?(?:\d{{1,4}}|{_ROMAN})\]?|p(?:age|g|\.)\s*\d+)\s{{2,}}|\s{{2,}}(?:\[?(?:\d{{1,4}}|{_ROMAN})\]?|p(?:age|g|\.)\s*\d+)$", regex.I)
 _TABLE_HEAD, _TABLE_END = regex.compile(r"^(?:qty|quantity|sl|s\.?\s?no|item|amount|rate)\b[.:]?$", regex.I), regex.compile(r"^(?:grand |sub)?total\b", regex.I)
 _WORDISH = regex.compile(r"[\p{L}\p{M}\p{N}]+")
@@ -196,23 +201,127 @@ def _titled(line: str) -> bool:
 
 
 def _roman(s: str) -> int:
-    value, total = {"i": 1, "v": 5, "x": 10, "l": 50}, 0
+    value, total = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100}, 0
     for a, b in zip(s, s[1:] + " "):
         total += -value[a] if value.get(b, 0) > value[a] else value[a]
     return total
 
 
-def _series(at: list[tuple[int, int]]) -> set[int]:
-    """Lines of the longest run of numbers that rise by one from line to line, if there are two or more."""
-    best: list[int] = []
-    length: dict[int, list[int]] = {}
-    for line, n in at:
-        run = [*length.get(n - 1, []), line]
-        if len(run) > len(length.get(n, [])):
-            length[n] = run
-        if len(run) > len(best):
-            best = run
-    return set(best) if len(best) >= 2 else set()
+def _value(s: str) -> tuple[str, int, bool] | None:
+    """(kind, number, whether look-alikes were read as digits) of a line that may be a bare page number."""
+    if _BARE.match(s):
+        return "digits", int(s), False
+    for low in (s, s.lower()) if s.isupper() else (s,):
+        if _BARE_ROMAN.match(low) and low != "l":
+            return "roman", _roman(low), False
+    if _BARE_ALIKE.match(s):
+        return "digits", int(s.translate(_DIGITS)), True
+    if _BARE_ROMAN.match(low := s.translate(_STROKES)):
+        return "roman", _roman(low), True
+    return None
+
+
+def _breaks(lines: list[str], stripped: list[str], out: dict[int, str]) -> list[int]:
+    """Lines at which pages begin: after form feeds, else where a group of running lines begins."""
+    feeds = [i for i, s in enumerate(lines) if "\f" in s]
+    if feeds:
+        return feeds
+    at, inside = [], False
+    for i, s in enumerate(stripped):
+        if i in out:
+            if not inside:
+                at.append(i)
+            inside = True
+        elif s and not _value(s):
+            inside = False
+    return at
+
+
+def _series(at: list[tuple[int, int, bool, bool]], breaks: list[int]) -> set[int]:
+    """Lines of the best rising series among (line, number, at a page edge, doubtful).
+
+    Steps may pass over numbers that are missing.  A step suits the series if
+    the lines between make as many pages as the number rises by: counted by
+    ``breaks`` between page edges, else by the usual length of a page.  A step
+    of one suits at any distance.  Doubtful numbers (in tables, or with
+    look-alikes) are taken at page edges or at exactly the usual distance.  Work per number is bounded by the
+    distinct values, of which there are at most some thousand.
+    """
+    if len(at) < 2:
+        return set()
+    gaps: Counter[int] = Counter(b - a for a, b in zip(breaks, breaks[1:]) if b - a > 2)
+    last: dict[int, int] = {}
+    for line, n, edge, doubtful in at:
+        for step in (1, 2) if edge or not doubtful else ():
+            d = line - last.get(n - step, line)
+            if d % step == 0 and d // step > 2:
+                gaps[d // step] += 1
+        if edge or not doubtful:
+            last[n] = line
+    values = np.array(sorted({n for _, n, _, _ in at}))
+    place = {int(v): k for k, v in enumerate(values)}
+    best: tuple[float, list[int]] = (0.0, [])
+    for usual, _ in sorted(gaps.items(), key=lambda x: (-x[1], x[0]))[:3] or [(0, 0)]:
+        # best chain that ends in each value: its score, last line, last entry
+        score, ends, entry = np.zeros(len(values)), np.zeros(len(values), np.int64), np.full(len(values), -1)
+        edged, page = np.zeros(len(values), bool), np.zeros(len(values), np.int64)
+        clear, before, total = np.zeros(len(values), bool), [-1] * len(at), [0.0] * len(at)
+        for k, (line, n, edge, doubtful) in enumerate(at):
+            v, now = place[n], bisect_right(breaks, line)
+            own = 1.0 + 0.5 * edge
+            total[k] = own
+            if v:
+                d, rise, pages = line - ends[:v], n - values[:v], now - page[:v]
+                exact = (usual > 0) & (np.abs(d - rise * usual) <= 1)
+                counted = edge & edged[:v] & (rise <= pages)
+                plain = clear[:v] & (edge or not doubtful) & (d > 1)
+                like = plain & (usual > 0) & (d >= 0.6 * rise * usual) & (d <= 1.6 * rise * usual)
+                suits = (entry[:v] >= 0) & (exact | counted | plain & (rise == 1) | like)
+                if suits.any():
+                    gain = np.where(suits, score[:v] + 0.5 * exact + 0.5 * (counted & (rise == pages)) + 0.1 * (rise == 1), -1.0)
+                    j = int(gain.argmax())
+                    before[k], total[k] = int(entry[j]), float(gain[j]) + own
+            if total[k] > score[v]:
+                score[v], ends[v], entry[v], edged[v], page[v], clear[v] = total[k], line, k, edge, now, edge or not doubtful
+        k = int(np.argmax(total))
+        if before[k] >= 0 and total[k] > best[0]:
+            chain, top = [], total[k]
+            while k >= 0:
+                chain.append(k)
+                k = before[k]
+            best = (top, chain[::-1])
+    chain = [at[k] for k in best[1]]
+    sure = len(chain) > 2 or sum(edge for _, _, edge, _ in chain) > 1 or any(b[1] - a[1] == 1 for a, b in zip(chain, chain[1:]))
+    if sure and (len(chain) > 3 or not all(doubtful for _, _, _, doubtful in chain)):
+        return {c[0] for c in chain}
+    return set()
+
+
+def _bare_numbers(lines: list[str], stripped: list[str], out: dict[int, str]) -> set[int]:
+    """Lines that are a page number and nothing else, told from their series and their places on the pages."""
+    inside, found = False, {"roman": [], "digits": []}
+    full = [i for i, s in enumerate(stripped) if s]
+    for k, i in enumerate(full):
+        s = stripped[i]
+        if _TABLE_HEAD.match(s):
+            inside = True
+        elif _TABLE_END.match(s):
+            inside = False
+        elif len(s) <= 12 and i not in out and (known := _value(s)):
+            kind, n, alike = known
+            follows, leads = full[k - 1] if k else -1, full[k + 1] if k + 1 < len(full) else -1
+            end = follows < 0 or leads < 0
+            edge = end or "\f" in lines[i] or "\f" in lines[leads] or out.get(follows) == "running" or out.get(leads) == "running"
+            found[kind].append((i, n, edge, inside and kind == "digits" or alike, end and not inside and not alike))
+    if not found["roman"] and not found["digits"]:
+        return set()
+    breaks = _breaks(lines, stripped, out)
+    got = set()
+    for kind in ("roman", "digits"):
+        got |= _series([x[:4] for x in found[kind]], breaks)
+    # a text of one page has its number first or last
+    clear = [x for kind in found.values() for x in kind if not x[3]]
+    return got or {x[0] for x in clear if x[4] and len(clear) == 1}
 
 
 def furniture(lines: list[str]) -> dict[int, str]:
@@ -236,17 +345,7 @@ def furniture(lines: list[str]) -> dict[int, str]:
             for i in at:
                 out[i] = "running"
     if not numbers:
-        inside, bare, roman = False, [], []
-        for i, s in enumerate(stripped):
-            if _TABLE_HEAD.match(s):
-                inside = True
-            elif _TABLE_END.match(s):
-                inside = False
-            elif _BARE_ROMAN.match(s):
-                roman.append((i, _roman(s)))
-            elif _BARE.match(s) and not inside:
-                bare.append((i, int(s)))
-        for i in _series(roman) or _series(bare):
+        for i in _bare_numbers(lines, stripped, out):
             out[i] = "page_number"
     return out
 
