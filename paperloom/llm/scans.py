@@ -30,8 +30,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from paperloom.plans.scratch import Scratch
 
 LEAST_SHARE, LEAST_COUNT, RATIO = 1e-6, 3, 60
-#: Word pairs kept as context, the most frequent ones.
-PAIRS = 50_000
 # Groups of letters that scanners take for one another.
 LOOK_ALIKE = (("rn", "m"), ("cl", "d"), ("vv", "w"), ("ri", "n"), ("li", "h"), ("ii", "u"), ("ni", "m"), ("in", "m"), ("nn", "m"), ("lc", "k"), ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("8", "b"), ("9", "g"), ("6", "b"), ("3", "e"), ("4", "a"), ("@", "a"), ("l", "i"), ("i", "l"), ("f", "t"), ("c", "e"), ("b", "h"), ("u", "a"), ("v", "y"), ("n", "u"), ("I", "l"), ("|", "l"), ("0", "O"), ("1", "I"), ("5", "S"), ("8", "B"), ("d", "cl"), ("m", "rn"), ("n", "ri"), ("w", "vv"), ("u", "ii"))
 CUT_SIGNS = "-‐‑¬­~"
@@ -540,8 +538,9 @@ def vocabulary_of(texts: DataFrame) -> Vocabulary:
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_COUNT, math.ceil(total * LEAST_SHARE))
     words = {r.word: r.n for r in counts.where(F.col("n") >= least).collect()}
-    pairs = {r.pair: r.n for r in pair_counts(texts).where(F.col("n") >= max(LEAST_COUNT, 2 * least)).orderBy(F.desc("n"), "pair").limit(PAIRS).collect()}
-    return Vocabulary(words, pairs)
+    # no more than 1 / (2 LEAST_SHARE) pairs are as frequent as this
+    pairs = pair_counts(texts).where(F.col("n") >= max(LEAST_COUNT, 2 * least)).select("pair", "n").toArrow()
+    return Vocabulary(words, dict(zip(pairs["pair"].to_pylist(), pairs["n"].to_pylist())))
 
 
 def _apply(images: DataFrame, vocabulary: Vocabulary, schema: str, rows_of) -> DataFrame:  # noqa: ANN001

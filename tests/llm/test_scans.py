@@ -1,6 +1,9 @@
 """Page furniture of problem 5 where pages lack their number or a line is unlike a heading."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import scans
 
@@ -37,3 +40,11 @@ def test_numbers_of_tables_stay():
 
 def test_single_page_number():
     assert page_numbers([*LINES, "    17"]) == ["17"] and page_numbers(["i", *LINES]) == ["i"] and page_numbers([*LINES, "17", *LINES]) == []
+
+
+def test_all_frequent_pairs_are_context(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(240)]
+    one = spark.createDataFrame([(w,) for w in words], "a string")
+    texts = one.crossJoin(one.withColumnRenamed("a", "b")).crossJoin(spark.range(6)).select(F.concat_ws(" ", "a", "b").alias("text"))
+    assert set(scans.vocabulary_of(texts).pairs) == {f"{a} {b}" for a in words for b in words}
