@@ -322,6 +322,55 @@ def _bare_numbers(lines: list[str], stripped: list[str], out: dict[int, str]) ->
     return got or {x[0] for x in clear if x[4] and len(clear) == 1}
 
 
+#: Running lines above or below one another on a page; pages that repeat more lines are copies of one another.
+STACKED = 3
+
+
+def _edge_lines(lines: list[str], stripped: list[str], out: dict[int, str]) -> set[int]:
+    """Lines that repeat at the same edge of the pages, however they are written."""
+    known = dict(out)
+    full = [i for i, s in enumerate(stripped) if s]
+    if not any("\f" in x for x in lines) and "page_number" not in out.values():
+        return set()
+    got: set[int] = set()
+    for layer in range(STACKED + 1):
+        tops, bottoms, pages = [], [], 1
+        above, cut = None, True  # the last line of the body, whether a page ended since
+        for i in full:
+            if "\f" in lines[i] or known.get(i) == "page_number":
+                cut = True
+            if i in known:
+                continue
+            if cut:
+                if above is not None:
+                    bottoms.append(above)
+                    pages += 1
+                tops.append(i)
+            above, cut = i, False
+        if above is not None:
+            bottoms.append(above)
+        new: set[int] = set()
+        for side in (tops, bottoms):
+            keys: dict[str, list[int]] = {}
+            for i in side:
+                k = _key(stripped[i])
+                if len(k) >= 5 and any(c.isalpha() for c in k) and not _TABLE_HEAD.match(stripped[i]) and not _TABLE_END.match(stripped[i]) and stripped[i][-1] not in CUT_SIGNS:
+                    keys.setdefault(k, []).append(i)
+            # two alike lines may be chance, and odd and even pages may differ
+            base = [k for k, at in keys.items() if len(at) >= 2 and len(at) >= (0.6 if len(at) == 2 else 0.4) * pages]
+            trie = Trie(k for k in base if len(k) >= 8)
+            for k, at in keys.items():
+                if k in base or 8 <= len(k) <= 200 and trie.root and within(trie, k, max(1, min(3, len(k) // 8))):
+                    new.update(at)
+        if not new:
+            return got
+        if layer == STACKED:
+            return set()
+        got |= new
+        known |= dict.fromkeys(new, "running")
+    return got
+
+
 def furniture(lines: list[str]) -> dict[int, str]:
     """'running' or 'page_number' by line."""
     out: dict[int, str] = {}
@@ -345,6 +394,8 @@ def furniture(lines: list[str]) -> dict[int, str]:
     if not numbers:
         for i in _bare_numbers(lines, stripped, out):
             out[i] = "page_number"
+    for i in _edge_lines(lines, stripped, out):
+        out[i] = "running"
     return out
 
 

@@ -48,3 +48,28 @@ def test_all_frequent_pairs_are_context(spark):
     one = spark.createDataFrame([(w,) for w in words], "a string")
     texts = one.crossJoin(one.withColumnRenamed("a", "b")).crossJoin(spark.range(6)).select(F.concat_ws(" ", "a", "b").alias("text"))
     assert set(scans.vocabulary_of(texts).pairs) == {f"{a} {b}" for a in words for b in words}
+
+
+@pytest.mark.parametrize("running", ["Confidential", "printed for the members of the society", "All rights reserved.", "वार्षिक प्रतिवेदन"])
+@pytest.mark.parametrize("mark", ["\f", "number"])
+@pytest.mark.parametrize("top", [True, False])
+def test_running_lines_of_any_case_and_script(running, mark, top):
+    lines, want = [], set()
+    for n in range(5):
+        body = [f"{x} {chr(97 + n)}" for x in LINES]
+        page = [running, *body] if top else [*body, running]
+        want.add(len(lines) + page.index(running))
+        if mark == "\f":
+            page[0] = "\f" * (n > 0) + page[0]
+        else:
+            page.append(f"- {n + 1} -")
+        lines += page
+    assert {i for i, kind in scans.furniture(lines).items() if kind == "running"} == want
+
+
+def test_lines_of_the_body_stay():
+    """A line that repeats away from the page edges, at few of them, or on copies of a page is body."""
+    pages = [[f"first {chr(97 + n)}", *LINES, f"last {chr(97 + n)}" if n > 1 else "the same end", f"- {n} -"] for n in range(6)]
+    assert "running" not in scans.furniture(sum(pages, [])).values()
+    copies = [*(f"{x} in full" for x in LINES), *LINES, "- 1 -"] * 2
+    assert "running" not in scans.furniture(copies).values()
