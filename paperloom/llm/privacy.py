@@ -8,7 +8,9 @@ a number in a form that only its kind has.  The share of such candidates
 beside a term is its disclosure.  A doubtful candidate (an unknown name, a bare
 number) is taken where the terms around it disclose at least ``DISCLOSURE``;
 a term that mostly stands beside organisations or references discloses
-nothing.  Found values are generalised to typed placeholders.
+nothing.  A name needs a disclosing term beside it even if its parts are in
+the register: a registered name among terms that are rare or precede other
+things is left in the text.  Found values are generalised to typed placeholders.
 """
 
 from __future__ import annotations
