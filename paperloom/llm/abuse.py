@@ -55,6 +55,8 @@ SEEDS = {
         "workshop on prevention of sexual harassment at the library", "the naked wire must be insulated", "idiot proof connector for the pump", "hate speech policy of the university", "pest control will remove rats and vermin from the store room", "the gay community centre welcomes all members", "strip the paint before the second coat", "dirty water was pumped from the basement",
     ),
 }
+#: Longest word that is judged as one.
+LONG = 40
 _LEET = str.maketrans("013457@$", "oieastas")
 _SPACED = regex.compile(r"(?<![\p{L}\p{M}\p{N}])\p{L}(?:[ .\-_*]\p{L}){2,}(?![\p{L}\p{M}\p{N}])")
 _TOKEN = regex.compile(r"[\p{L}\p{M}\p{N}@$*']*[\p{L}\p{M}][\p{L}\p{M}\p{N}@$*']*|\p{N}+")
@@ -62,8 +64,14 @@ _RUN = regex.compile(r"(.)\1{2,}")
 _HIDDEN = regex.compile(r"[\p{Cf}]+")
 
 
+def _pieces(word: str) -> list[str]:
+    """The word, or pieces of ``LONG`` characters that overlap by half: words written together are judged part by part."""
+    step = LONG // 2
+    return [word[i : i + LONG] for i in range(0, max(1, len(word) - step), step)]
+
+
 def words(text: str | None) -> list[str]:
-    """Words in lower case with spaced-out letters joined, look-alike digits read as letters, runs of a letter cut; numbers become 0."""
+    """Words in lower case with spaced-out letters joined, look-alike digits read as letters, runs of a letter cut, overlong words in overlapping pieces; numbers become 0."""
     if not text:
         return []
     t = _SPACED.sub(lambda m: regex.sub(r"[ .\-_*]", "", m.group()), _HIDDEN.sub("", text).lower())
@@ -72,7 +80,7 @@ def words(text: str | None) -> list[str]:
         if w.isdigit():
             out.append("0")
         else:
-            out.append(_RUN.sub(r"\1", w.translate(_LEET).strip("'*") or w)[:40])
+            out += _pieces(_RUN.sub(r"\1", w.translate(_LEET).strip("'*") or w))
     return out
 
 
