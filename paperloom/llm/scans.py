@@ -349,12 +349,14 @@ def _edge_lines(lines: list[str], stripped: list[str], out: dict[int, str]) -> s
             above, cut = i, False
         if above is not None:
             bottoms.append(above)
+        if not tops:  # nothing but repeated lines: copies of one page
+            return set()
         new: set[int] = set()
         for side in (tops, bottoms):
             keys: dict[str, list[int]] = {}
             for i in side:
                 k = _key(stripped[i])
-                if len(k) >= 5 and any(c.isalpha() for c in k) and not _TABLE_HEAD.match(stripped[i]) and not _TABLE_END.match(stripped[i]) and stripped[i][-1] not in CUT_SIGNS:
+                if len(k) >= 5 and any(c.isalpha() for c in k) and not _TABLE_HEAD.match(stripped[i]) and not _TABLE_END.match(stripped[i]):
                     keys.setdefault(k, []).append(i)
             # two alike lines may be chance, and odd and even pages may differ
             base = [k for k, at in keys.items() if len(at) >= 2 and len(at) >= (0.6 if len(at) == 2 else 0.4) * pages]
