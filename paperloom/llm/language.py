@@ -2,11 +2,14 @@
 
 Compression classification.  For each language and script a zstandard
 raw-content dictionary is made of clean reference sentences, a few fixed
-function words and the sentences that occur most under that label in the whole
-corpus (a sentence counts for the label that most of its occurrences bear, so
-wrong labels are outvoted).  A unit of text is encoded with every dictionary of
-its script; the smallest output names the language, the relative margin to the
-next language is the confidence, and narrow margins are rejected.
+function words and sentences of the corpus itself.  Those are chosen on a
+bounded sample of labelled texts (``REFERENCE_TEXTS``): every pair of words that
+follow each other belongs to the label that surely bears most of its texts, a
+sentence to the language of its pairs, and every pair that is frequent in its
+language brings one sentence into the dictionary.  A unit of text is encoded
+with every dictionary of its script; the smallest output names the language,
+the relative margin to the next language is the confidence, and narrow margins
+are rejected.
 
 Units are sentences; neighbouring sentences of one language form a segment.
 Field lines, names, numbers and short fragments are no sentences.
@@ -21,7 +24,9 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from paperloom.plans.scratch import Scratch
 
 LANGUAGES = ("en", "hi", "mr", "es", "fr", "de")
 # Spellings of language labels, after lower-casing and dropping region and script parts.
@@ -44,7 +49,16 @@ WORDS = {
     ("hi", "D"): " है हैं था थी थे का की के को से में पर और या नहीं न ही भी तो क्या जो वह यह अपना अपनी अपने हो होगा होगी करें कर किया गया गई दिया दिए रहा रही रहे तक लिए बाद पहले साथ कृपया एक दो ",
     ("mr", "D"): " आहे आहेत होता होती होते चा ची चे ला ने मध्ये वर आणि किंवा नाही न ही पण तर काय जो तो ती ते आपला आपली आपले होईल करा केले केली केला झाला झाली साठी नंतर पूर्वी सोबत कृपया एक दोन येथे यांना यांनी ",
 }
-PER_CLASS = 800
+#: Bound on the labelled texts the dictionaries are fitted on; each distinct text counts once.
+REFERENCE_TEXTS = 40_000
+#: Least share of a pair among the pairs of its language; at most 1 / LEAST_SHARE sentences enter a dictionary.
+LEAST_SHARE = 2e-4
+#: A pair belongs to a label if the lower bound of its share (Wilson, Z standard errors) is a half.
+Z = 2.0
+#: A sentence belongs to a language with more than MOST of its pairs, and at most OTHER of them elsewhere.
+MOST, OTHER = 0.5, 0.1
+#: Clean sentences may be so many at most, as they are part of what is sent to every task.
+MOST_SAMPLES = 10_000
 MARGIN = 0.05
 #: A further language of a text needs a sentence with this margin.
 SURE = 0.25
@@ -106,62 +120,79 @@ def is_sentence(s: str) -> bool:
     return len(words) >= LEAST_WORDS and sum(not w[0].isupper() for w in words) >= 2
 
 
-def reference_sentences(images: DataFrame, samples: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
-    """(lang, script, sentence, n): the most frequent sentences of each language over all texts.
+_NAME = regex.compile(r"(?<=.)(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]*")
+
+
+def word_pairs(sentence: str) -> list[str]:
+    """Distinct pairs of neighbouring words, without names and numbers."""
+    words = _NAME.sub("^", sentence).lower().split()
+    return sorted({f"{a} {b}" for a, b in zip(words, words[1:]) if not {a, b} & {"^", "0"}})
+
+
+def _lower_bound(hits: Column, of: Column) -> Column:
+    """Lower bound of a share (Wilson)."""
+    p = hits / of
+    return (p + Z * Z / (2 * of) - Z * F.sqrt((p * (1 - p) + Z * Z / (4 * of)) / of)) / (1 + Z * Z / of)
+
+
+def reference_sentences(images: DataFrame, bound: int = REFERENCE_TEXTS) -> DataFrame:
+    """(lang, script, sentence, n): sentences that cover the frequent word pairs of each language.
 
-    Sentences are counted with digits masked, per label of their texts.  One
-    serves as reference for the language that a first classifier of the clean
-    samples and function words names, if the labels agree often enough, or else
-    for the label that most of its occurrences bear; so neither wrong labels
-    nor a weak first guess decide alone.  At most ``per_class`` rows per
-    language and script leave the executors, whatever the size of the corpus.
+    Fitted on about ``bound`` distinct labelled texts, drawn by the hash of the
+    text.  A text votes once, for the label that most of its copies bear, so
+    copies of one wrong label are no evidence; pairs need a share of the votes
+    whose lower bound is a half, so chance agreements do not grow with the
+    corpus.  Per language and script at most 1 / ``LEAST_SHARE`` rows.
     """
-    empty = pd.DataFrame({"lang": [], "script": [], "sentence": [], "n": []})
-    seed = dictionaries(empty, samples.select("text", "lang").toPandas(), lonely=True)
+    scratch = Scratch(images.sparkSession)
+    labelled = images.select(F.col("extracted_text").alias("text"), label_of(F.col("ocr_lang")).alias("label")).where("label is not null and text is not null")
+    share = min(1.0, bound / max(labelled.count(), 1))
+    drawn = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(round(1_000_000 * share)))
+    texts = drawn.groupBy("text").agg(*[F.count_if(F.col("label") == x).alias(x) for x in LANGUAGES])
+    most = F.greatest(*LANGUAGES)
+    texts = texts.select("text", F.coalesce(*[F.when(F.col(x) == most, F.lit(x)) for x in LANGUAGES]).alias("label"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Classifier(seed)
         place = {x: i for i, x in enumerate(LANGUAGES)}
         for b in batches:
             rows: dict[str, list[int]] = {}
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for _, s in units(text):
-                    if model.sentence(s):
-                        rows.setdefault(plain(s), [0] * len(LANGUAGES))[place[label]] += 1
+                for s in {plain(s) for _, s in units(text) if is_sentence(s)}:
+                    rows.setdefault(s, [0] * len(LANGUAGES))[place[label]] += 1
             if rows:
                 keys = list(rows)
                 counts = [pa.array([n[i] for n in rows.values()], pa.int64()) for i in range(len(LANGUAGES))]
-                yield pa.RecordBatch.from_arrays([pa.array([script(k) for k in keys], pa.string()), pa.array(keys, pa.string()), pa.array([model.classify(k)[0] for k in keys], pa.string()), *counts], ["script", "sentence", "guess", *LANGUAGES])
-
-    labelled = images.select("extracted_text", label_of(F.col("ocr_lang")).alias("label")).where("label is not null and extracted_text is not null")
-    schema = "script string, sentence string, guess string, " + ", ".join(f"{x} long" for x in LANGUAGES)
-    counts = labelled.mapInArrow(split, schema).where("script is not null").groupBy("script", "sentence", "guess").agg(*[F.sum(x).alias(x) for x in LANGUAGES])
-    # names are masked for the vote of the labels, so that copies of one text do not outvote a form of sentence
-    counts = counts.withColumn("form", F.regexp_replace("sentence", r"(?<=.)(?<![\p{L}\p{M}])\p{Lu}[\p{L}\p{M}]*", "^"))
-    forms = counts.groupBy("script", "form").agg(*[F.sum(x).alias(f"all_{x}") for x in LANGUAGES])
-    counts = counts.join(forms, ["script", "form"])
-    seen, most = sum(F.col(f"all_{x}") for x in LANGUAGES), F.greatest(*[f"all_{x}" for x in LANGUAGES])
-    guessed = F.coalesce(*[F.when(F.col("guess") == x, F.col(f"all_{x}")) for x in LANGUAGES], F.lit(0))
-    by_guess = (guessed >= 3) & (guessed >= 0.4 * seen)
-    by_label = F.col("guess").isNull() & (most >= 5) & (most >= 0.6 * seen)
-    lang = F.when(by_guess, F.col("guess")).when(by_label, F.coalesce(*[F.when(F.col(f"all_{x}") == most, F.lit(x)) for x in LANGUAGES]))
-    named = counts.select("script", "sentence", lang.alias("lang"), sum(F.col(x) for x in LANGUAGES).alias("n")).where("lang is not null")
-    ranked = named.withColumn("r", F.row_number().over(Window.partitionBy("lang", "script").orderBy(F.desc("n"), "sentence"))).where(F.col("r") <= per_class)
-    return ranked.select("lang", "script", "sentence", "n")
-
-
-def dictionaries(references: pd.DataFrame, samples: pd.DataFrame, lonely: bool = False) -> dict[tuple[str, str], bytes]:
+                yield pa.RecordBatch.from_arrays([pa.array([script(k) for k in keys], pa.string()), pa.array(keys, pa.string()), pa.array([word_pairs(k) for k in keys], pa.list_(pa.string())), *counts], ["script", "sentence", "pairs", *LANGUAGES])
+
+    schema = "script string, sentence string, pairs array<string>, " + ", ".join(f"{x} long" for x in LANGUAGES)
+    counts = texts.mapInArrow(split, schema).where("script is not null and size(pairs) > 0")
+    counts = scratch.put(counts.groupBy("script", "sentence").agg(F.first("pairs").alias("pairs"), *[F.sum(x).alias(x) for x in LANGUAGES]))
+    n = sum(F.col(x) for x in LANGUAGES)
+    single = counts.select("script", "sentence", F.size("pairs").alias("of"), n.alias("n"), *LANGUAGES, F.explode("pairs").alias("pair"))
+    votes = single.groupBy("script", "pair").agg(*[F.sum(x).alias(x) for x in LANGUAGES])
+    owned = votes.select("script", "pair", F.coalesce(*[F.when(_lower_bound(F.col(x), n) >= 0.5, F.lit(x)) for x in LANGUAGES]).alias("owner")).where("owner is not null")
+    per = single.join(owned, ["script", "pair"]).groupBy("script", "sentence").agg(F.first("n").alias("n"), F.first("of").alias("of"), *[F.count_if(F.col("owner") == x).alias(x) for x in LANGUAGES])
+    most = F.greatest(*LANGUAGES)
+    lang = F.coalesce(*[F.when(F.col(x) == most, F.lit(x)) for x in LANGUAGES])
+    named = per.where((most > MOST * F.col("of")) & (n - most <= OTHER * F.col("of"))).select("script", "sentence", lang.alias("lang"), F.col("n").alias("uses"))
+    named = scratch.put(named.join(counts.select("script", "sentence", "pairs"), ["script", "sentence"]))
+    kept = named.select("lang", "script", "sentence", "uses", F.explode("pairs").alias("pair")).groupBy("lang", "script", "pair").agg(F.sum("uses").alias("n"), F.max(F.struct("uses", (-F.length("sentence")).alias("short"), "sentence")).alias("best"))
+    total = named.groupBy("lang", "script").agg(F.sum(F.col("uses") * F.size("pairs")).alias("total"))
+    frequent = kept.join(F.broadcast(total), ["lang", "script"]).where(F.col("n") >= LEAST_SHARE * F.col("total"))
+    return frequent.select("lang", "script", "best.sentence", F.col("best.uses").alias("n")).distinct()
+
+
+def dictionaries(references: pd.DataFrame, samples: pd.DataFrame) -> dict[tuple[str, str], bytes]:
     """Raw dictionary content per (language, script): rare content first, since matches near the end are cheapest.
 
-    ``lonely`` keeps classes that only have their function words.
+    A class without a reference and without a clean sample has no dictionary.
     """
     out = {}
     for (lang, kind), words in WORDS.items():
         own = references[(references.lang == lang) & (references.script == kind)].sort_values(["n", "sentence"])
         clean = [t for t, x in zip(samples.text, samples.lang) if t and x == lang and script(t) == kind]
-        if not len(own) and not clean and not lonely:
-            continue
-        out[lang, kind] = ("\n".join([words, *own.sentence, *clean, words])).encode()
+        if len(own) or clean:
+            out[lang, kind] = ("\n".join([words, *own.sentence, *clean, words])).encode("utf-8", "surrogatepass")
     return out
 
 
@@ -191,7 +222,7 @@ class Classifier:
             size: dict[str, int] = {}
             for lang, coder in self.coders[kind]:
                 size[lang] = min(size.get(lang, 1 << 30), len(coder.compress(raw)) - 6)
-            (best, a), (_, b) = sorted(size.items(), key=lambda x: (x[1], x[0]))[:2]
+            (best, a), (_, b) = [*sorted(size.items(), key=lambda x: (x[1], x[0])), (None, len(raw)), (None, len(raw))][:2]
             margin = (b - a) / max(b, 1)
             out = (best if margin >= MARGIN else None, round(margin, 4))
         if len(self.known) > 100_000:
@@ -228,7 +259,11 @@ def segments(model: Classifier, text: str | None) -> list[tuple[int, int, str |
 
 
 def model_of(images: DataFrame, samples: DataFrame) -> dict[tuple[str, str], bytes]:
-    return dictionaries(reference_sentences(images, samples).toPandas(), samples.select("text", "lang").toPandas())
+    """The dictionaries; their size is bounded by ``LEAST_SHARE``, that of ``samples`` is checked."""
+    clean = samples.select("text", "lang").limit(MOST_SAMPLES + 1).toPandas()
+    if len(clean) > MOST_SAMPLES:
+        raise ValueError(f"more than {MOST_SAMPLES} clean sentences; pass fewer")
+    return dictionaries(reference_sentences(images).toPandas(), clean)
 
 
 def text_segments(rows: DataFrame, content: dict[tuple[str, str], bytes], key: str = "id", text: str = "extracted_text", carry: tuple[str, ...] = ()) -> DataFrame:
