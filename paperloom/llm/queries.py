@@ -33,9 +33,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_decisions(spark: SparkSession, d: str) -> DataFrame:
     """Every upload with its decision."""
-    seen = p3_found(spark, d).select("upload_id", F.lit("duplicate").alias("decision"))
-    ids = load(spark, d, "incoming_uploads").select("upload_id").where("upload_id is not null").distinct()
-    return ids.join(seen, "upload_id", "left").select("upload_id", F.coalesce("decision", F.lit("new")).alias("decision"))
+    return increments.decided(load(spark, d, "images"), load(spark, d, "incoming_uploads"))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -103,18 +103,3 @@ def test_uploads_by_brute_force(spark):
     uploads = spark.createDataFrame([(i, 1, 1, None, hexes(h)) for i, h in new], "upload_id long, batch_id long, user_id long, sha256_hash string, phash string")
     want = {i for i, h in new if any((j < i) and bin(h ^ g).count("1") <= 5 for j, g in [(-1, g) for _, g in old] + new)}
     assert {r.upload_id for r in increments.duplicate_uploads(images, uploads).collect()} == want
-
-
-def test_batches_append(spark):
-    """Probing batch by batch, the index growing by each, finds what one pass finds."""
-    rng = random.Random(6)
-    seeds = [rng.getrandbits(64) for _ in range(5)]
-    rows = [(1, i, (rng.choice(seeds) ^ (1 << rng.randrange(64))) & ((1 << 63) - 1)) for i in range(60)]
-    whole = increments.distinct_hashes(spark.createDataFrame([(u, n, b, None) for u, n, b in rows], "user_id long, number long, bits long, sha string"))
-    at_once = {(r.user_id, r.bits) for r in increments.near_known(whole, increments.index_of(whole)).collect()}
-    index, found = increments.index_of(whole.limit(0)), set()
-    for lo in range(0, 60, 20):
-        batch = whole.where(f"number >= {lo} and number < {lo + 20}")
-        index = index.unionByName(increments.index_of(batch))
-        found |= {(r.user_id, r.bits) for r in increments.near_known(batch, index).collect()}
-    assert found == at_once and found
