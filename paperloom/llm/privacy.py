@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from paperloom.plans.scratch import Scratch
+
 DISCLOSURE = 0.15
 #: Least relative frequency of a term that is kept; bounds the table of terms.
 LEAST_SHARE = 1e-5
@@ -334,10 +336,14 @@ def counted_terms(texts: DataFrame, register: set[str]) -> Terms:
             if sums:
                 yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums]), pa.array([k[1] for k in sums]), pa.array([v[0] for v in sums.values()], pa.int64()), pa.array([v[1] for v in sums.values()], pa.int64())], ["side", "term", "sure", "n"])
 
+    scratch = Scratch(texts.sparkSession)
     counts = texts.select("text").mapInArrow(run, "side string, term string, sure long, n long").groupBy("side", "term").agg(F.sum("sure").alias("sure"), F.sum("n").alias("n"))
+    counts = scratch.put(counts)  # read twice below
     totals = counts.groupBy("side").agg(F.sum("n").alias("total"))
     kept = counts.where("n >= 3").join(F.broadcast(totals), "side").where(F.col("n") >= F.col("total") * LEAST_SHARE)  # five sides
-    return Terms([(r.side, r.term, r.sure, r.n) for r in kept.select("side", "term", "sure", "n").collect()], register)
+    rows = kept.select("side", "term", "sure", "n").toArrow().to_pydict()
+    scratch.drop(counts)
+    return Terms([*zip(rows["side"], rows["term"], rows["sure"], rows["n"])], register)
 
 
 def register_of(name_parts: DataFrame) -> set[str]:

@@ -54,9 +54,7 @@ def unpivoted(images: DataFrame, groups: DataFrame) -> DataFrame:
     cells = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"), is_filled(f, F.col(f)).alias("filled")) for f in FIELDS])
     own = images.select("id", "created_at", "indexing_status", "is_quarantined", *FIELDS)
     rows = own.join(groups.select("id", "group_id"), "id").select("group_id", "id", "created_at", trust.alias("trust"), F.explode(cells).alias("cell"))
-    age = F.datediff(F.lit("2030-01-01").cast("date"), F.col("created_at").cast("date")).cast("double")
-    decay = F.coalesce(F.exp2(-age / HALF_LIFE_DAYS) if hasattr(F, "exp2") else F.pow(F.lit(2.0), -age / HALF_LIFE_DAYS), F.lit(0.0))
-    return rows.select("group_id", "id", "created_at", "cell.field", "cell.value", _plain(F.col("cell.value")).alias("key"), "cell.filled", (F.col("trust") * decay).alias("weight"))
+    return rows.select("group_id", "id", "created_at", "cell.field", "cell.value", _plain(F.col("cell.value")).alias("key"), "cell.filled", "trust")
 
 
 def elect(votes: DataFrame, by: list[str], candidate: str, order: list[Column], payload: list[Column]) -> DataFrame:
@@ -77,8 +75,12 @@ def merged_records(long: DataFrame) -> DataFrame:
     Equal vote sums go to the value seen last, then to the smaller normalised
     value; the spelling shown is the one of the smallest row id.
     """
-    votes = long.where("filled").groupBy("group_id", "field", "key").agg(F.sum("weight").alias("votes"), F.max("created_at").alias("seen"), F.min_by("value", "id").alias("value"))
-    best = F.max_by("value", F.struct(F.round("votes", 12), "seen", -F.xxhash64("key"))).alias("value")
+    newest = long.groupBy("group_id").agg(F.max("created_at").alias("newest"))
+    age = F.datediff(F.col("newest").cast("date"), F.col("created_at").cast("date")).cast("double")
+    weight = F.col("trust") * F.coalesce(F.pow(F.lit(2.0), -age / HALF_LIFE_DAYS), F.lit(0.0))
+    votes = long.where("filled").join(newest, "group_id").groupBy("group_id", "field", "key").agg(F.sum(weight).alias("votes"), F.max("created_at").alias("seen"), F.min_by("value", "id").alias("value"))
+    seen = F.coalesce(F.unix_micros(F.col("seen").cast("timestamp")), F.lit(-(1 << 62)))
+    best = F.min_by("value", F.struct(-F.round("votes", 12), -seen, F.col("key"))).alias("value")
     wins = votes.groupBy("group_id", "field").agg(best)
     wide = wins.groupBy("group_id").pivot("field", list(FIELDS)).agg(F.first("value"))
     return long.select("group_id").distinct().join(wide, "group_id", "left")
