@@ -70,18 +70,18 @@ def _pieces(word: str) -> list[str]:
     return [word[i : i + LONG] for i in range(0, max(1, len(word) - step), step)]
 
 
+def raw_words(text: str | None) -> list[str]:
+    """Words as written, in lower case, with spaced-out letters joined."""
+    return _TOKEN.findall(_SPACED.sub(lambda m: regex.sub(r"[ .\-_*]", "", m.group()), _HIDDEN.sub("", text).lower())) if text else []
+
+
+def read_word(raw: str) -> list[str]:
+    """A word with look-alike digits read as letters and runs of a letter cut, in overlapping pieces if overlong; numbers become 0."""
+    return ["0"] if raw.isdigit() else _pieces(_RUN.sub(r"\1", raw.translate(_LEET).strip("'*") or raw))
+
+
 def words(text: str | None) -> list[str]:
-    """Words in lower case with spaced-out letters joined, look-alike digits read as letters, runs of a letter cut, overlong words in overlapping pieces; numbers become 0."""
-    if not text:
-        return []
-    t = _SPACED.sub(lambda m: regex.sub(r"[ .\-_*]", "", m.group()), _HIDDEN.sub("", text).lower())
-    out = []
-    for w in _TOKEN.findall(t):
-        if w.isdigit():
-            out.append("0")
-        else:
-            out += _pieces(_RUN.sub(r"\1", w.translate(_LEET).strip("'*") or w))
-    return out
+    return [w for raw in raw_words(text) for w in read_word(raw)]
 
 
 def _hash(s: str) -> int:
@@ -122,6 +122,7 @@ class Model:
     def __init__(self, vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray, least: np.ndarray):
         self.vectors, self.weights, self.bias, self.least = vectors, weights, bias, least
         self._lexicon, self._words = Lexicon(), np.zeros((0, len(KINDS)), np.float32)
+        self._read: dict[str, list[int]] = {}
         # everything is linear up to the softmax, so class scores per bucket suffice
         self._scores = (vectors @ weights).astype(np.float32)
 
@@ -131,26 +132,49 @@ class Model:
             self._words = np.vstack([self._words, np.stack([self._scores[b].mean(0) for b in self._lexicon.buckets[known:]])])
         return self._words[n]
 
-    def windows(self, text: str | None) -> np.ndarray:
-        """Probabilities of the kinds for every window of every width of the text."""
-        tokens = words(text)
-        if not tokens:
-            return np.zeros((0, len(KINDS)), np.float32)
+    def _numbers(self, text: str | None) -> list[int]:
+        """Word numbers of a text; every spelling is read once."""
+        out = []
+        for raw in raw_words(text):
+            n = self._read.get(raw)
+            if n is None:
+                n = self._read[raw] = self._lexicon.numbers(read_word(raw)).tolist()
+            out += n
+        return out
+
+    def scores_of(self, texts: list[str | None]) -> np.ndarray:
+        """Largest probability of each kind over the windows of every width, a row per text; a text without words is none.
+
+        All texts are one run of words here: sums over windows are differences
+        of running sums, and only windows within one text are taken.
+        """
+        out = np.zeros((len(texts), len(KINDS)))
+        out[:, 0] = 1.0
         if len(self._lexicon.buckets) > 300_000:
-            self._lexicon, self._words = Lexicon(), np.zeros((0, len(KINDS)), np.float32)
-        n = self._lexicon.numbers(tokens)
-        own = self._of_words(n)
-        h = np.array([self._lexicon.hashes[i] for i in n], np.uint64)
-        pairs = self._scores[pair_buckets(h)] if len(n) > 1 else np.zeros((0, len(KINDS)), np.float32)
+            self._lexicon, self._words, self._read = Lexicon(), np.zeros((0, len(KINDS)), np.float32), {}
+        numbers = [self._numbers(t) for t in texts]
+        length = np.array([len(n) for n in numbers], np.int64)
+        there = np.flatnonzero(length)
+        if not len(there):
+            return out
+        length, n = length[there], np.concatenate([np.array(numbers[i], np.int64) for i in there])
+        h = np.array(self._lexicon.hashes, np.uint64)[n]
         zero = np.zeros((1, len(KINDS)))
-        c, d = np.vstack([zero, np.cumsum(own, 0, np.float64)]), np.vstack([zero, np.cumsum(pairs, 0, np.float64)])
-        z = []
-        for w in sorted({min(w, len(n)) for w in WIDTHS}):
-            total = c[w:] - c[:-w] + (d[w - 1 :] - d[: len(d) - w + 1])
-            z.append(total / (2 * w - 1) + self.bias)
-        z = np.vstack(z)
-        z = np.exp(z - z.max(1, keepdims=True))
-        return z / z.sum(1, keepdims=True)
+        c = np.vstack([zero, np.cumsum(self._of_words(n), 0, np.float64)])
+        d = np.vstack([zero, np.cumsum(self._scores[pair_buckets(h)], 0, np.float64)])
+        begin = np.r_[0, np.cumsum(length)[:-1]]
+        left = np.repeat(begin + length, length) - np.arange(len(n))  # words from here to the end of the text
+        most = np.full((len(there), len(KINDS)), -np.inf)
+        for w in WIDTHS:
+            wide = np.repeat(np.minimum(w, length), length)
+            s = np.flatnonzero(left >= wide)
+            e = s + wide[s]
+            z = (c[e] - c[s] + d[e - 1] - d[s]) / (2 * wide[s] - 1)[:, None] + self.bias
+            z = np.exp(z - z.max(1, keepdims=True))
+            first = np.r_[0, np.cumsum(np.maximum(length - w, 0) + 1)[:-1]]
+            most = np.maximum(most, np.maximum.reduceat(z / z.sum(1, keepdims=True), first, axis=0))
+        out[there] = most
+        return out
 
     def leaning(self, tokens: list[str], kind: int) -> np.ndarray:
         """How much each word, with the pair it opens, speaks for the kind against none."""
@@ -164,8 +188,7 @@ class Model:
 
     def scores(self, text: str | None) -> np.ndarray:
         """Largest probability of each kind over the windows."""
-        p = self.windows(text)
-        return p.max(0) if len(p) else np.array([1.0, 0.0, 0.0, 0.0])
+        return self.scores_of([text])[0]
 
     def pack(self) -> bytes:
         return b"".join(np.ascontiguousarray(a, "<f4").tobytes() for a in (self.vectors, self.weights, self.bias, self.least))
@@ -319,10 +342,10 @@ def train(texts: list[str | None], votes: list[dict[str, float]], rounds: int =
             # ratings without evidence of their own, but with a place the model is sure of
             if span[i, k][2] < EVIDENCE:
                 c = KINDS.index(k)
-                if model.windows(" ".join(docs[i]))[:, c].max() >= 0.8:
+                if model.scores(" ".join(docs[i]))[c] >= 0.8:
                     a, b, _ = best_span(np.clip(model.leaning(docs[i], c), -1.0, 1.0), 0.2)
                     chosen[i, k] = (a, b)
-    found = [model.scores(" ".join(d)) for d in docs]
+    found = model.scores_of([" ".join(d) for d in docs])
     least = np.full(len(KINDS), 0.5, np.float32)
     for c, k in enumerate(KINDS[1:], 1):
         value, truth = np.array([f[c] for f in found]), np.array([v.get(k, 0.0) >= 0.5 for v in votes])
@@ -365,7 +388,8 @@ def scored(documents: DataFrame, model: bytes, carry: tuple[str, ...] = ("source
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model.unpack(shared.value)
         for b in batches:
-            s = np.array([m.scores(t) for t in b.column(b.num_columns - 1).to_pylist()]).reshape(-1, len(KINDS))
+            texts = b.column(b.num_columns - 1).to_pylist()
+            s = np.vstack([m.scores_of(texts[i : i + 500]) for i in range(0, len(texts), 500)] or [np.zeros((0, len(KINDS)))])
             kinds = [[k for c, k in enumerate(KINDS) if c and r[c] >= m.least[c]] for r in s]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(s[:, c].astype(np.float64)) for c in (1, 2, 3)), pa.array(kinds, pa.list_(pa.string()))], [*(f.name for f in fields), "abusive", "hateful", "sexual", "kinds"])
 
