@@ -122,15 +122,14 @@ def within(trie: Trie, word: str, most: int) -> list[tuple[str, int]]:
 class Vocabulary:
     def __init__(self, counts: dict[str, int], pairs: dict[str, int] | None = None):
         self.counts, self.pairs = dict(counts), pairs or {}
-        self.trie = Trie(sorted(counts))
-        self.near: dict[str, list[tuple[str, float]]] = {}
-        for w in sorted(counts, key=lambda w: (counts[w], w)):
-            if "-" not in w and self.fix(w, counts[w]) is not None:
-                del self.counts[w]
         self.trie, self.near = Trie(sorted(self.counts)), {}
         self.compounds = sorted(w for w in self.counts if "-" in w)
         self.parts = {p for w in self.compounds for p in w.split("-")}
 
+    def misread(self, word: str) -> bool:
+        """Whether a word of the vocabulary is a misreading of one ``RATIO`` times as frequent; never one that another was meant to be, so words are judged in any order."""
+        return "-" not in word and self.fix(word, self.counts[word]) is not None
+
     def candidates(self, word: str) -> list[tuple[str, float]]:
         """(word, cost) of vocabulary words that the word may be a misreading of."""
         if word not in self.near:
@@ -362,7 +361,7 @@ def _edge_lines(lines: list[str], stripped: list[str], out: dict[int, str]) -> s
             base = [k for k, at in keys.items() if len(at) >= 2 and len(at) >= (0.6 if len(at) == 2 else 0.4) * pages]
             trie = Trie(k for k in base if len(k) >= 8)
             for k, at in keys.items():
-                if k in base or 8 <= len(k) <= 200 and trie.root and within(trie, k, max(1, min(3, len(k) // 8))):
+                if k in base or len(k) >= 8 and trie.root and within(trie, k, max(1, min(3, len(k) // 8))):
                     new.update(at)
         if not new:
             return got
@@ -390,7 +389,7 @@ def furniture(lines: list[str]) -> dict[int, str]:
     trie = Trie(k for k in keys if len(k) >= 8) if len(keys) > 1 else None
     for k, at in keys.items():
         # a running line may be misread on some pages
-        if k in base or trie and 8 <= len(k) <= 200 and any(w != k for w, _ in within(trie, k, max(1, min(3, len(k) // 8)))):
+        if k in base or trie and len(k) >= 8 and any(w != k for w, _ in within(trie, k, max(1, min(3, len(k) // 8)))):
             for i in at:
                 out[i] = "running"
     if not numbers:
@@ -405,7 +404,7 @@ _SUSPECT = regex.compile(r"[\p{L}\p{M}@|\p{N}]+(?:'\p{L}+)?")
 _BLANK = re.compile(r"\S+")
 _PLAIN_SIGN = re.compile(r"[^\W\d_]*@[^\W\d_]*[.,;]?")
 _CODE = re.compile(r"[A-Z]{2,}[-/]?\d+(?:[-/]\d+)*")
-#: Longer runs without a blank are no words.
+#: Of a word cut at the end of a line so many letters are read.
 LONGEST_WORD = 60
 
 
@@ -414,7 +413,7 @@ def _tokens(line: str) -> list[tuple[int, int, str]]:
     out = []
     for part in _BLANK.finditer(line):
         p = part.group()
-        if len(p) > LONGEST_WORD or "://" in p or p.count("/") > 1 or "@" in p and not _PLAIN_SIGN.fullmatch(p):
+        if "://" in p or p.count("/") > 1 or "@" in p and not _PLAIN_SIGN.fullmatch(p):
             continue
         if _CODE.search(p):
             p = _CODE.sub(lambda m: " " * len(m.group()), p)
@@ -585,12 +584,33 @@ class Reader:
         return "\n\n".join(p for p in paragraphs if p)
 
 
+#: Words the vocabulary may hold at most, as it is sent to every task; 1 / LEAST_SHARE is never exceeded.
+MOST_WORDS = 1_000_000
+
+
 def vocabulary_of(texts: DataFrame) -> Vocabulary:
-    """Vocabulary of all texts (column ``text``); its size is bounded by the least relative frequency."""
-    counts = Scratch(texts.sparkSession).put(word_counts(texts))
+    """Vocabulary of all texts (column ``text``); its size is bounded by the least relative frequency and checked."""
+    scratch = Scratch(texts.sparkSession)
+    counts = scratch.put(word_counts(texts))
     total = counts.agg(F.sum("n")).first()[0] or 0
     least = max(LEAST_COUNT, math.ceil(total * LEAST_SHARE))
-    words = {r.word: r.n for r in counts.where(F.col("n") >= least).collect()}
+    common = counts.where(F.col("n") >= least).select("word", "n")
+    if common.count() > MOST_WORDS:
+        raise ValueError("the vocabulary is too large to be sent to every task")
+    found = common.toArrow()
+    words = dict(zip(found["word"].to_pylist(), found["n"].to_pylist()))
+    shared = texts.sparkSession.sparkContext.broadcast(words)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = None
+        for b in batches:
+            v = v or Vocabulary(shared.value)
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in b.column(0).to_pylist() if v.misread(w)], pa.string())], ["word"])
+
+    misread = common.select("word").repartition(1 + len(words) // 1000).mapInArrow(check, "word string").toArrow()
+    for w in misread["word"].to_pylist():
+        del words[w]
+    scratch.drop(counts)
     # no more than 1 / (2 LEAST_SHARE) pairs are as frequent as this
     pairs = pair_counts(texts).where(F.col("n") >= max(LEAST_COUNT, 2 * least)).select("pair", "n").toArrow()
     return Vocabulary(words, dict(zip(pairs["pair"].to_pylist(), pairs["n"].to_pylist())))
@@ -603,12 +623,7 @@ def _apply(images: DataFrame, vocabulary: Vocabulary, schema: str, rows_of) -> D
         reader = None
         for b in batches:
             if reader is None:
-                v = object.__new__(Vocabulary)
-                v.counts, v.pairs = shared.value
-                v.trie, v.near = Trie(sorted(v.counts)), {}
-                v.compounds = sorted(w for w in v.counts if "-" in w)
-                v.parts = {p for w in v.compounds for p in w.split("-")}
-                reader = Reader(v)
+                reader = Reader(Vocabulary(*shared.value))
             rows = [r for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for r in rows_of(reader, i, t)]
             if rows:
                 names = [x.split()[0] for x in schema.split(", ")]
