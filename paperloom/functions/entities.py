@@ -8,19 +8,22 @@ from paperloom.functions.text import all_of
 
 # Patterns of the entity kinds; Java and RE2 read them alike.
 MONTH = r"(Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t|tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
-DMY = r"\b(0?[1-9]|[12][0-9]|3[01])[-/.](0?[1-9]|1[012])[-/.]((?:19|20)[0-9][0-9])\b"
-YMD = r"\b((?:19|20)[0-9][0-9])[-/.](0?[1-9]|1[012])[-/.](0?[1-9]|[12][0-9]|3[01])\b"
-TEXTUAL = rf"(?i)\b([0-3]?[0-9Oo])(?:st|nd|rd|th)?[\s.-]+{MONTH}[\s,.-]+((?:19|20)[0-9][0-9])\b"
-MONTH_YEAR = rf"(?i)\b{MONTH}[\s,]+((?:19|20)[0-9][0-9])\b"
+DMY = r"\b(0?[1-9]|[12][0-9]|3[01])[-/.](0?[1-9]|1[012])[-/.]((?:19|20)\d\d)\b"
+YMD = r"\b((?:19|20)\d\d)[-/.](0?[1-9]|1[012])[-/.](0?[1-9]|[12][0-9]|3[01])\b"
+TEXTUAL = rf"(?i)\b([0-3]?[0-9Oo])(?:st|nd|rd|th)?[\s.-]+{MONTH}[\s,.-]+((?:19|20)\d\d)\b"
+MONTH_YEAR = rf"(?i)\b{MONTH}[\s,]+((?:19|20)\d\d)\b"
 EMAIL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
-PHONE = r"(?:\+91[\s.-]?)?([6-9][0-9]{4}[\s.-]?[0-9]{5})\b"
+PHONE = r"(?:\+91[\s.-]?)?([6-9]\d{4}[\s.-]?\d{5})\b"
 PHONE_NEAR = r"(?i)(?:Phone|Contact|Mobile|Tel|Cell|Call)\s*[:#-]?\s*(\+?[0-9\s.-]{8,16})"
-URL = r"(?i)\b(?:https?://|www\.)[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?:/[^\s,;<>'\"()]*)*"
-AMOUNT = r"(?i)(?:₹|Rs\.?|INR)\s*([0-9,]+(?:\.[0-9]{1,2})?)\s*(?:/-)?"
+URL = r"(?i)\b(?:https?://|www\.)[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?:/[^\s,;<>'\"()]*)*|\b(?:[a-zA-Z0-9-]+\.)+(?:com|in|org|net|edu|gov\.in|ac\.in|nic\.in|res\.in|io|ai|co|app|gle|me|tech|xyz|info|dev|live)(?:/[^\s,;<>'\"()]*)?\b"
+AMOUNT = r"(?i)(?:₹|Rs\.?|INR)\s*([\d,]+(?:\.\d{1,2})?)\s*(?:/-)?"
+AMOUNT_NEAR = r"(?i)(?:Fee|Amount|Paid|Total|Scholarship|Grant|Stipend|Penalty|Price)\s*[:#-]?\s*(?:₹|Rs\.?|INR)?\s*([\d,]+(?:\.\d{1,2})?)\s*(?:/-)?"
+#: Years that are no amounts; suffixes of files, which are no web addresses.
+NO_AMOUNT, FILE_SUFFIXES = (2024.0, 2025.0, 2026.0, 2027.0), ("png", "jpg", "jpeg", "pdf", "txt", "bak")
 LABELLED_ID = r"(?i)(?:Roll\s*(?:No\.?|Number|ID|#)?|Hall\s*Ticket(?:\s*ID|\s*No\.?)?|App(?:lication)?\s*(?:No\.?|Number|ID|#)|Enrollment(?:\s*No\.?|\s*ID)?|Reg(?:istration)?\s*(?:No\.?|Number|ID|#)|Transaction\s*(?:Ref|ID|No\.?)|TXN(?:\s*Ref|\s*ID|\s*No\.?)?|Student\s*ID|\bID\s*[:#-])\s*[:#-]?\s*([A-Za-z0-9/-]{2,25})"
-ROLL = r"\b([0-9]{2}[A-Za-z]{2,5}[0-9]{2,4})\b"
-AADHAAR = r"\b([2-9][0-9]{3}\s?[0-9]{4}\s?[0-9]{4})\b"
-PAN = r"\b([A-Z]{3}[PCHFATBLJG][A-Z][0-9]{4}[A-Z])\b"
+ROLL = r"\b(\d{2}[A-Za-z]{2,5}\d{2,4})\b"
+AADHAAR = r"\b([2-9]\d{3}\s?\d{4}\s?\d{4})\b"
+PAN = r"\b([A-Z]{3}[PCHFATBLJG][A-Z]\d{4}[A-Z])\b"
 # Addresses and helplines that identify nobody.
 GENERIC_MAIL = ("info@", "support@", "admin@", "contact@", "help@", "noreply@", "service@", "mail@", "office@", "webmaster@", "sales@", "billing@")
 HELPLINES = ("1800", "1947", "112", "100", "101", "108")
@@ -67,14 +70,22 @@ def phones(c: Column) -> Column:
 
 
 def urls(c: Column) -> Column:
-    """Web addresses with a scheme; http is kept, bare www gets https."""
-    return F.array_distinct(F.transform(all_of(c, URL), lambda x: F.when(F.lower(x).startswith("www."), F.concat(F.lit("https://"), x)).otherwise(x)))
+    """Web addresses and bare domains, distinct in any case (the first spelling stays); blanks that readers put into them are closed, files are none, https is put before bare ones."""
+    tidy = F.regexp_replace(c, r"(?i)https?\s*:\s*//\s*", "https://")
+    tidy = F.regexp_replace(tidy, r"(?i)(\w+)\s*\.\s*(com|in|edu|org|net|gov|io|ai|gle)\b", "$1.$2")
+    bare = F.transform(all_of(tidy, URL), lambda x: F.regexp_replace(x, r"^[.,;:\"')\[\]{}<>]+|[.,;:\"')\[\]{}<>]+$", ""))
+    real = F.filter(bare, lambda x: (F.length(x) >= 4) & ~F.lower(x).rlike(rf"\.(?:{'|'.join(FILE_SUFFIXES)})$"))
+    full = F.transform(real, lambda x: F.when(F.lower(x).rlike("^https?://"), x).otherwise(F.concat(F.lit("https://"), F.regexp_replace(x, r"(?i)^www\.", ""))))
+    step = lambda kept, x: F.when(F.exists(kept, lambda k: F.lower(k) == F.lower(x)), kept).otherwise(F.concat(kept, F.array(x)))
+    return F.aggregate(full, F.array().cast("array<string>"), step)
 
 
 def amounts(c: Column) -> Column:
-    """Distinct values of at least 1 that follow a currency sign."""
-    values = F.transform(all_of(c, AMOUNT, 1), lambda x: F.try_to_number(F.replace(x, F.lit(","), F.lit("")), F.lit("999999999999999999.99")).cast("double"))
-    return F.array_distinct(F.filter(values, lambda v: v >= 1))
+    """Distinct values of at least 1 after a currency sign, then those of at least 10 after a word like fee or total, years left out."""
+    number = lambda x: F.replace(x, F.lit(","), F.lit("")).try_cast("double")
+    signed = F.filter(F.transform(all_of(c, AMOUNT, 1), number), lambda v: v >= 1)
+    near = F.filter(F.transform(all_of(c, AMOUNT_NEAR, 1), number), lambda v: (v >= 10) & ~v.isin(*NO_AMOUNT))
+    return F.array_distinct(F.concat(signed, near))
 
 
 def identifiers(c: Column) -> Column:

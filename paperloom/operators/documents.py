@@ -66,14 +66,19 @@ def candidate_phrases(c: Column, most: int = 3) -> Column:
     return F.array_distinct(F.transform(kept, lambda p: F.array_join(p, " ")))
 
 
+# Patterns of payment modes, totals and taxes of an invoice.
+PAYMENT_MODES = (("UPI / QR", r"(?i)\b(?:upi|gpay|phonepe|paytm|bhim|qr)\b"), ("CARD", r"(?i)\b(?:card|visa|mastercard|debit|credit)\b"), ("CASH", r"(?i)\b(?:cash|cod)\b"), ("BANK_TRANSFER / CHALLAN", r"(?i)\b(?:netbank|neft|rtgs|imps|challan)\b"))
+MONEY = r"[:\s]*[₹$Rs.]*\s*([\d,]+\.?\d*)"
+GRAND_TOTAL, TOTAL = r"(?i)(?:grand\s*total|net\s*payable|total\s*payable|amount\s*paid)" + MONEY, r"(?i)(?:total\s*amount|\btotal\b)" + MONEY
+
+
 def invoice(c: Column) -> Column:
-    """Payment mode, grand total and taxes of an invoice."""
-    low = F.lower(c)
-    mode = F.when(low.rlike(r"\b(upi|gpay|phonepe|paytm|bhim|qr)\b"), "UPI").when(low.rlike(r"\b(card|visa|mastercard|debit|credit)\b"), "Card").when(low.rlike(r"\b(cash|cod)\b"), "Cash").when(low.rlike(r"\b(netbank|neft|rtgs|imps|challan)\b"), "Bank").otherwise("Unknown")
-    number = lambda p: F.try_to_number(F.nullif(F.replace(F.regexp_extract(c, p, 1), F.lit(","), F.lit("")), F.lit("")), F.lit("999999999999.99")).cast("double")
-    money = r"[^0-9\n]{0,24}?([0-9][0-9,]*(?:\.[0-9]{1,2})?)"
-    total = F.coalesce(number(r"(?i)(?:grand\s*total|net\s*payable|total\s*payable|amount\s*paid)" + money), number(r"(?i)\btotal\b" + money))
-    return F.struct(mode.alias("mode"), total.alias("total"), *[number(rf"(?i){t}" + money).alias(t) for t in ("cgst", "sgst", "igst")])
+    """Payment mode, grand total, taxes and their sum; what is missing is 0, the mode UNKNOWN."""
+    mode = F.coalesce(*[F.when(c.rlike(p), F.lit(name)) for name, p in PAYMENT_MODES], F.lit("UNKNOWN"))
+    number = lambda p: F.replace(F.regexp_extract(c, p, 1), F.lit(","), F.lit("")).try_cast("double")
+    tax = {t: F.coalesce(number(f"(?i){t}{MONEY}"), F.lit(0.0)) for t in ("cgst", "sgst", "igst")}
+    total = F.coalesce(F.when(c.rlike(GRAND_TOTAL), number(GRAND_TOTAL)).otherwise(number(TOTAL)), F.lit(0.0))
+    return F.struct(mode.alias("mode"), total.alias("total"), *[v.alias(t) for t, v in tax.items()], F.round(sum(tax.values()), 2).alias("total_tax"))
 
 
 def links_of(image_id: int, images: DataFrame) -> DataFrame:

@@ -30,13 +30,19 @@ def hashes(images: DataFrame) -> DataFrame:
 
 
 def near_pairs(reps: DataFrame) -> DataFrame:
-    """(user_id, a, b, d): distinct hashes (user_id, bits, id) with 1 to RADIUS differing bits, a < b by id."""
-    edges = [round(i * 64 / (RADIUS + 1)) for i in range(RADIUS + 2)]
-    bands = F.array(*[F.struct(F.lit(i).alias("no"), F.shiftrightunsigned("bits", lo).bitwiseAND((1 << (hi - lo)) - 1).alias("part")) for i, (lo, hi) in enumerate(zip(edges, edges[1:]))])
-    cut = reps.select("user_id", "id", "bits", F.explode(bands).alias("band")).select("user_id", "id", "bits", "band.no", "band.part")
+    """(user_id, a, b, d): distinct hashes (user_id, bits, id) with 1 to RADIUS differing bits, a < b by id.
+
+    Of ``RADIUS + 2`` segments two agree; the keys are pairs of segments, 18 or
+    19 bits beside the user, so a user with very many hashes has small buckets.
+    """
+    edges = [round(i * 64 / (RADIUS + 2)) for i in range(RADIUS + 3)]
+    part = [F.shiftrightunsigned("bits", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:])]
+    pairs = [(i, j) for i in range(len(part)) for j in range(i + 1, len(part))]
+    keys = F.array(*[F.shiftleft(F.shiftleft(F.lit(n).cast("long"), 10).bitwiseOR(part[i]), 10).bitwiseOR(part[j]) for n, (i, j) in enumerate(pairs)])
+    cut = reps.select("user_id", "id", "bits", F.explode(keys).alias("key"))
     l, r = cut.alias("l"), cut.alias("r")
     d = F.bit_count(F.col("l.bits").bitwiseXOR(F.col("r.bits")))
-    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("user_id", "no", "part")]
+    on = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in ("user_id", "key")]
     return l.join(r, [*on, F.col("l.id") < F.col("r.id"), d <= RADIUS]).select(F.col("l.user_id").alias("user_id"), F.col("l.id").alias("a"), F.col("r.id").alias("b"), d.alias("d")).distinct()
 
 

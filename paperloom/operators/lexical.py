@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperloom.functions import text as T
+from paperloom.functions.indic import expansions
 from paperloom.functions.similarity import cross_weighted, fuzzy_word, lexical_word  # noqa: F401
+from paperloom.plans.scratch import Scratch
 
 # Words that name the tone of a text.
 TONES = {
-    "financial": ("paid", "amount", "rupees", "inr", "total", "challan", "fee", "bill", "invoice", "receipt", "gst", "bank", "account", "due", "subtotal", "tax"),
-    "official": ("government", "ministry", "republic", "india", "aadhaar", "pan", "passport", "authority", "official", "gazette", "uidai", "voter", "certified"),
-    "academic": ("university", "college", "marksheet", "student", "roll", "exam", "grade", "credits", "semester", "cgpa", "degree", "faculty", "syllabus", "admission"),
-    "urgent": ("urgent", "due immediately", "deadline", "penalty", "late fee", "notice", "warning", "expire", "disconnection", "immediate action"),
-    "legal": ("agreement", "deed", "terms", "conditions", "party", "witness", "affidavit", "notary", "signature", "undertaking", "clause", "indemnity", "jurisdiction"),
+    "Financial / Transactional": ("paid", "amount", "rupees", "inr", "total", "challan", "fee", "bill", "invoice", "receipt", "gst", "bank", "account", "due", "subtotal", "tax"),
+    "Official / Government": ("government", "ministry", "republic", "india", "aadhaar", "pan", "passport", "authority", "official", "gazette", "uidai", "voter", "certified"),
+    "Academic / Educational": ("university", "college", "marksheet", "student", "roll", "exam", "grade", "credits", "semester", "cgpa", "degree", "faculty", "syllabus", "admission"),
+    "Urgent / Action Required": ("urgent", "due immediately", "deadline", "penalty", "late fee", "notice", "warning", "expire", "disconnection", "immediate action"),
+    "Legal / Contractual": ("agreement", "deed", "terms", "conditions", "party", "witness", "affidavit", "notary", "signature", "undertaking", "clause", "indemnity", "jurisdiction"),
 }
 
 
@@ -35,10 +40,24 @@ def keyword_scan(images: DataFrame, query: str, user_id: int | None = None) -> D
     return rows if user_id is None else rows.where(F.col("user_id") == user_id)
 
 
+#: Words under which rows with a code are found.
+CODE_WORDS = "qr qrcode qr_code barcode visual_object"
+
+
+def visual_words() -> Column:
+    """Words of a row's visual metadata: code words, the type, labels, types and data of its objects."""
+    meta = F.from_json("visual_metadata", "struct<detected:boolean,type:string,objects:array<struct<label:string,type:string,data:string>>>")
+    coded = F.coalesce("has_visual_objects", F.lit(False)) | F.coalesce(meta["detected"], F.lit(False)) | (F.trim(F.coalesce("qr_payload", F.lit(""))) != "")
+    objects = F.transform(F.coalesce(meta["objects"], F.array().cast("array<struct<label:string,type:string,data:string>>")), lambda o: F.concat_ws(" ", o["label"], o["type"], o["data"]))
+    return F.concat_ws(" ", F.when(coded, F.lit(CODE_WORDS)), meta["type"], F.array_join(objects, " "))
+
+
 def searchable_text() -> Column:
-    """Text, caption, payloads and category of a row, blanks left out."""
-    parts = [F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit("")) for c in ("extracted_text", "blip_caption", "qr_payload", "stego_payload", "category")]
-    return F.concat_ws(" ", *parts)
+    """Text, caption, payloads, web addresses, visual words and category of a row, blanks left out."""
+    plain = lambda c: F.nullif(F.trim(F.coalesce(c, F.lit(""))), F.lit(""))
+    own = [plain(F.col(c)) for c in ("extracted_text", "cleaned_text", "blip_caption", "qr_payload", "stego_payload")]
+    urls = F.array_join(F.coalesce(F.from_json("entities_json", "struct<urls:array<string>>")["urls"], F.array().cast("array<string>")), " ")
+    return F.concat_ws(" ", *own, plain(urls), plain(visual_words()), plain(F.col("category")))
 
 
 def tone_counts(c: Column) -> dict[str, Column]:
@@ -52,7 +71,7 @@ def tone(c: Column) -> Column:
     n = tone_counts(c)
     total, best = sum(n.values()), F.greatest(*n.values())
     name = F.coalesce(*[F.when((v == best) & (best > 0), F.lit(k)) for k, v in n.items()], F.lit("general"))
-    return F.struct(name.alias("tone"), F.when(total > 0, F.round(best / total, 4)).otherwise(0.0).alias("share"), (n["urgent"] > 0).alias("urgent"))
+    return F.struct(name.alias("tone"), F.when(total > 0, F.round(best / total, 4)).otherwise(0.0).alias("share"), (n["Urgent / Action Required"] > 0).alias("urgent"))
 
 
 def sentence_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -68,13 +87,37 @@ def sentence_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return scored.groupBy(key, "sentence_no").agg(F.round(F.sum(F.col("c") / F.col("size") * (F.log((F.col("ns") + 1.0) / (F.col("df") + 1.0)) + 1.0)), 4).alias("score"))
 
 
+def _close(tokens: Column, word: str, least: float = 0.75) -> Column:
+    """Sum of the similarities of tokens to a word, of those that reach ``least``.
+
+    A word of c letters has at least c - 1 pairs of letters, so a similarity
+    needs a number of common pairs, which is tested before any set is built.
+    """
+    pairs, letters = sorted({word[i : i + 2] for i in range(len(word) - 1)}), len(set(word))
+    if not pairs:
+        return F.lit(0.0)
+    need = max(1, math.ceil(least / 2 * (2 * letters - 1 + letters + len(pairs)) - letters - 1e-9))
+    some = F.filter(tokens, lambda t: sum((t.contains(p).cast("int") for p in pairs), F.lit(0)) >= need)
+    close = F.filter(F.transform(some, lambda t: T.dice(F.lit(word), t)), lambda x: x >= least)
+    return F.aggregate(close, F.lit(0.0), lambda s, x: s + x)
+
+
 def answer_sentences(images: DataFrame, words: tuple[str, ...], top: int, key: str = "id", text: str = "extracted_text") -> DataFrame:
     """(key, sentence, score): the best sentences of each text for the question's words."""
     parts = F.filter(F.transform(F.split(F.col(text), r"[.\n\r]+"), lambda s: F.trim(s)), lambda s: F.length(s) >= 5)
     s = images.select(key, F.explode(F.array_distinct(parts)).alias("sentence"))
-    score = F.round(sum(F.lower("sentence").contains(w).cast("int") for w in words) * 1.5 / float(len(words)), 4)
+    low = F.lower("sentence")
+    s = s.withColumn("tokens", F.filter(T.all_of(low, r"[a-zA-Z0-9\x{0900}-\x{097F}]+"), lambda t: F.length(t) >= 2))
+    dice = sum(_close(F.col("tokens"), w) for w in words)
+    score = F.round((sum(low.contains(w).cast("int") for w in words) * 1.5 + dice) / float(len(words)), 3)
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "sentence"))
-    return s.withColumn("score", score).where("score > 0.2").withColumn("r", rank).where(F.col("r") <= top).drop("r")
+    return s.withColumn("score", score).where("score > 0.2").withColumn("r", rank).where(F.col("r") <= top).select(key, "sentence", "score")
+
+
+def answers(images: DataFrame, words: tuple[str, ...], top: int = 3) -> DataFrame:
+    """(id, sentence, score, confidence): the ``top`` rows with the best sentence for the question's words, the smaller id on ties."""
+    best = answer_sentences(visible(images), words, 1)
+    return best.orderBy(F.desc("score"), "id").limit(top).withColumn("confidence", F.least(F.lit(0.98), F.round(F.col("score") * 0.85 + 0.15, 2)))
 
 
 def specific_value(c: Column, kind: str) -> Column:
@@ -113,50 +156,68 @@ def fuzzy_vocabulary(docs: DataFrame, queries: tuple[str, ...], key: str = "doc_
     return vocabulary_scores(terms, queries, fuzzy_word, 0.01).withColumn("sim", F.round("sim", 6))
 
 
-def _words_of(images: DataFrame) -> DataFrame:
-    """(id, term, in_name, n) of the lexical words of name and text."""
-    name = T.lexical_tokens(F.translate(F.coalesce("image_name", F.lit("")), "_-.", "   "))
-    body = T.lexical_tokens(F.translate(F.coalesce("extracted_text", F.lit("")), "_-", "  "))
-    named = images.select("id", F.explode(name).alias("term"), F.lit(1).alias("in_name"))
-    return named.unionByName(images.select("id", F.explode(body).alias("term"), F.lit(0).alias("in_name"))).groupBy("id", "term", "in_name").agg(F.count("*").alias("n"))
+_READ = {"extracted_text": "string", "cleaned_text": "string", "blip_caption": "string", "qr_payload": "string", "stego_payload": "string", "entities_json": "string", "visual_metadata": "string", "category": "string", "has_visual_objects": "boolean"}
 
 
-def _query_words(query: str) -> list[str]:
-    import re
+def _searched(images: DataFrame) -> DataFrame:
+    """Visible rows with every column that is searched; one that is missing is null."""
+    return visible(images).withColumns({c: F.lit(None).cast(kind) for c, kind in _READ.items() if c not in images.columns})
+
+
+def _name_words() -> Column:
+    return T.lexical_tokens(F.translate(F.coalesce("image_name", F.lit("")), "_-.", "   "))
+
+
+def _body_words() -> Column:
+    return T.lexical_tokens(F.translate(searchable_text(), "_-", "  "))
 
+
+def _query_words(query: str) -> list[str]:
     return [w for w in dict.fromkeys(re.findall(r"[a-z0-9ऀ-ॿ]+", query.lower())) if w not in T.STOPWORDS and (len(w) >= 2 or w.isdigit())]
 
 
+def _held(queries: list[str]) -> Column:
+    """Whether name or searchable text hold one of the queries: a number as a whole number, anything else as it stands."""
+    whole = F.lower(F.translate(F.concat_ws(" ", "image_name", searchable_text()), "_-", "  "))
+    tests = [whole.rlike(rf"(?:^|[^0-9]){q}(?:[^0-9]|$)") if q.isdigit() else whole.contains(q.translate(str.maketrans("_-", "  "))) for q in queries]
+    return reduce(Column.__or__, tests)
+
+
 def exact_search(images: DataFrame, query: str, least: float = 0.65) -> DataFrame:
-    """(id, score): 1 where name or text hold the phrase, else the mean over query words of their best word.
+    """(id, score): 1 where a row holds the query or its counterpart in the other script, else the mean over the query's words of their best word.
 
-    Whole-phrase rows are answered by built-in expressions; only the distinct
-    vocabulary goes through Python, once, and is joined back.
+    Of several forms of the query the best counts.  Whole-phrase rows are
+    answered in the scan; only the distinct vocabulary goes through Python,
+    once for all forms, and is joined back to the words of the rows.
     """
-    rows, q, words = visible(images), query.lower().strip(), _query_words(query)
-    held = F.lower(F.translate(F.concat_ws(" ", "image_name", "extracted_text"), "_-", "  ")).contains(q)
+    rows, forms = _searched(images), list(dict.fromkeys(q for x in expansions(query.lower().strip()) if (q := x.lower().strip())))
+    if not forms:
+        return rows.select("id", F.lit(1.0).alias("score")).where("false")
+    held = F.coalesce(_held(forms), F.lit(False))
     whole = rows.where(held).select("id", F.lit(1.0).alias("score"))
-    if not words:
-        return whole.where(F.lit(bool(q)))
-    if q.isdigit():
-        return rows.where(F.concat_ws(" ", "image_name", "extracted_text").rlike(rf"(?:^|[^0-9]){q}(?:[^0-9]|$)")).select("id", F.lit(1.0).alias("score"))
-    terms = _words_of(rows.where(~held))
-    sims = vocabulary_scores(terms, tuple(words), lexical_word, 0.3)
-    best = terms.join(sims, "term").groupBy("id", "q").agg(F.max("sim").alias("best"))
-    mean = best.groupBy("id").agg(F.round(F.sum("best") / float(len(words)), 4).alias("score"))
-    return whole.unionByName(mean.where(F.col("score") >= least))
+    parts = {q: _query_words(q) for q in forms if not q.isdigit()}
+    parts = {q: ws for q, ws in parts.items() if ws}
+    if not parts:
+        return whole
+    terms = rows.where(~held).select("id", F.explode(F.array_distinct(F.concat(_name_words(), _body_words()))).alias("term"))
+    sims = vocabulary_scores(terms, tuple(dict.fromkeys(w for ws in parts.values() for w in ws)), lexical_word, 0.3)
+    best = terms.join(sims, "term").groupBy("id").pivot("q", sorted({w for ws in parts.values() for w in ws})).agg(F.max("sim"))
+    means = [sum((F.coalesce(F.col(f"`{w}`"), F.lit(0.0)) for w in ws), F.lit(0.0)) / float(len(ws)) for ws in parts.values()]
+    scored = best.select("id", F.round(F.greatest(*means) if len(means) > 1 else means[0], 4).alias("score"))
+    return whole.unionByName(scored.where(F.col("score") >= least))
 
 
 def fuzzy_search(images: DataFrame, query: str, least: float = 0.65) -> DataFrame:
     """(id, score): mean over query words of the best typo similarity, raised by name hits and repeats, at most 0.99 a word."""
     words = tuple(_query_words(query))
-    terms = _words_of(visible(images))
+    rows = _searched(images)
+    terms = rows.select("id", F.explode(_name_words()).alias("term"), F.lit(1).alias("in_name")).unionByName(rows.select("id", F.explode(_body_words()).alias("term"), F.lit(0).alias("in_name")))
     sims = vocabulary_scores(terms, words, fuzzy_word, 0.01)
     hits = terms.join(sims, "term")
     strong = F.col("sim") >= 0.74
     name_best = F.max(F.when((F.col("in_name") == 1) & strong, F.col("sim")))
     body_best = F.max(F.when(F.col("in_name") == 0, F.col("sim")))
-    repeats = F.sum(F.when((F.col("in_name") == 0) & strong, F.col("n")).otherwise(0))
+    repeats = F.count_if((F.col("in_name") == 0) & strong)
     per = hits.groupBy("id", "q").agg(F.greatest(name_best, body_best).alias("best"), name_best.isNotNull().alias("named"), repeats.alias("k"))
     boost = F.when(F.col("named"), 0.05).otherwise(0.0) + F.when(F.col("k") > 1, F.least(F.lit(0.04), (F.col("k") - 1) * 0.01)).otherwise(0.0)
     word = F.when(F.col("best") > 0, F.least(F.lit(0.99), F.col("best") + boost)).otherwise(0.0)
@@ -166,11 +227,11 @@ def fuzzy_search(images: DataFrame, query: str, least: float = 0.65) -> DataFram
 def unified_search(images: DataFrame, query: str, least: float = 0.65, enough: int = 3) -> DataFrame:
     """(id, score, is_exact): exact hits, and typo-tolerant ones where there are fewer than ``enough`` exact hits.
 
-    The number of exact hits is a scalar of the plan, not an action: the fuzzy
-    side is filtered by it.
+    Exact hits are written once and counted up to ``enough``; the typo-tolerant
+    pass over the rows is only planned if it is needed.
     """
-    exact = exact_search(images, query, least)
-    few = exact.agg((F.count("*") < enough).alias("few"))
-    fuzzy = fuzzy_search(images, query, least).crossJoin(F.broadcast(few)).where("few").select("id", F.col("score").alias("fuzzy"))
-    both = exact.join(fuzzy, "id", "full_outer")
+    exact = Scratch(images.sparkSession).put(exact_search(images, query, least))
+    if exact.limit(enough).count() >= enough:
+        return exact.select("id", "score", F.lit(True).alias("is_exact"))
+    both = exact.join(fuzzy_search(images, query, least).withColumnRenamed("score", "fuzzy"), "id", "full_outer")
     return both.select("id", F.greatest("score", "fuzzy").alias("score"), (F.col("score").isNotNull() & (F.coalesce("fuzzy", F.lit(0.0)) <= F.col("score"))).alias("is_exact"))

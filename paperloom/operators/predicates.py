@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from paperloom.functions import entities as E
 from paperloom.functions.text import all_of
+from paperloom.operators.documents import invoice
 
 # Names of entity kinds.
 ENTITY_KINDS = {"aadhaar": "aadhaar", "aadhaar_number": "aadhaar", "pan": "pan", "pan_number": "pan", "phone": "phones", "phone_number": "phones", "email": "emails", "url": "urls", "amount": "amounts", "money": "amounts", "id": "identifiers", "ids": "identifiers", "application_id": "identifiers", "date": "dates", "dates": "dates"}
@@ -76,14 +77,22 @@ def in_format(file_format: str) -> Column:
     return F.coalesce(_format(F.col("file_format")) == want, F.lit(False)) | F.coalesce(_format(F.regexp_extract("image_name", r"\.([^.]+)$", 1)) == want, F.lit(False))
 
 
-def has_entity(text: Column, kind: str) -> Column:
-    return F.coalesce(F.size(getattr(E, ENTITY_KINDS[kind.lower()])(text)) > 0, F.lit(False))
+# Names of the stored arrays of entities.
+STORED = {"aadhaar": "aadhaar_numbers", "pan": "pan_numbers", "phones": "phone_numbers", "identifiers": "ids"}
+
+
+def has_entity(kind: str) -> Column:
+    """Whether the stored entities of a row hold one of the kind; a primary date is a date."""
+    name = ENTITY_KINDS[kind.lower()]
+    found = F.get_json_object("entities_json", f"$.{STORED.get(name, name)}")
+    held = found.isNotNull() & ~F.regexp_replace(found, r"\s", "").isin("[]", "null", "")
+    return F.coalesce(held | (F.trim(F.coalesce("primary_date", F.lit(""))).rlike("^(19|20)[0-9]{2}") if name == "dates" else F.lit(False)), F.lit(False))
 
 
 def amount_between(text: Column, low: float | None, high: float | None) -> Column:
-    """Any amount from 1 to a million in the range."""
+    """Any amount from 1 to a million, or the grand total of an invoice, in the range."""
     inside = lambda v: (v <= 1_000_000) & (F.lit(True) if low is None else v >= low) & (F.lit(True) if high is None else v <= high)
-    return F.coalesce(F.exists(E.amounts(text), inside), F.lit(False))
+    return F.coalesce(F.exists(E.amounts(text), inside), F.lit(False)) | F.coalesce(inside(invoice(text)["total"]), F.lit(False))
 
 
 def tenant(user_id: int | None, is_admin: bool = False) -> Column:
@@ -119,7 +128,7 @@ def eligible(images: DataFrame, regions: DataFrame, f: Facets) -> DataFrame:
     if f.file_format:
         where &= in_format(f.file_format)
     if f.entity_type:
-        where &= has_entity(text, f.entity_type)
+        where &= has_entity(f.entity_type)
     if f.min_amount is not None or f.max_amount is not None:
         where &= amount_between(text, f.min_amount, f.max_amount)
     rows = images.where(where)
@@ -131,9 +140,16 @@ def excluded_terms(text: Column, terms: tuple[str, ...]) -> Column:
     return F.coalesce(F.lower(text).rlike(r"\b(?:" + "|".join(terms) + r")\b"), F.lit(False)) if terms else F.lit(False)
 
 
-def has_digits(c: Column, digits: str) -> Column:
-    """A number query needs its digits in the text."""
-    return F.coalesce(c.contains(digits), F.lit(False))
+def number_guard(query: str, score: Column) -> Column:
+    """A completed row whose text or name has the digits of a number query, or a score of .52; other queries let every completed row pass."""
+    held = F.coalesce(F.col("extracted_text").contains(query) | F.col("image_name").contains(query), F.lit(False)) | (score >= 0.52)
+    return F.coalesce(F.col("indexing_status") == "completed", F.lit(False)) & (held if query.isdigit() else F.lit(True))
+
+
+def same_document(id_a: Column, canonical_a: Column, id_b: Column, canonical_b: Column) -> Column:
+    """Whether two rows show one document: the same row, the same canonical row, or one is the other's."""
+    a, b = F.coalesce(canonical_a, id_a), F.coalesce(canonical_b, id_b)
+    return F.coalesce((id_a == id_b) | (a == b) | (a == id_b) | (b == id_a), F.lit(False))
 
 
 def all_terms(text: Column, pattern: str) -> Column:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from paperloom.functions import scores as S, text as T
+from paperloom.plans.scratch import Scratch
 
 # Words of the clusters.
 CLUSTERS = (
@@ -18,23 +19,23 @@ CLUSTERS = (
 )
 
 
-def similar_to(vectors: DataFrame, key: str, vector: str, probe: DataFrame) -> DataFrame:
-    """(key, sim) of every row to the vector of ``probe`` (one row, column q), four decimals."""
+def similar_to(vectors: DataFrame, key: str, vector: str, probe: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ``carry`` columns, sim) of every row to the vector of ``probe`` (one row, column q), four decimals."""
     # one probe row: a scalar side, not a table
-    return vectors.crossJoin(F.broadcast(probe)).select(key, F.round(S.cosine(F.col(vector), F.col("q")), 4).alias("sim"))
+    return vectors.crossJoin(F.broadcast(probe)).select(key, *carry, F.round(S.cosine(F.col(vector), F.col("q")), 4).alias("sim"))
 
 
-def adaptive_threshold(scores: DataFrame, query: str, low: float = 0.30, high: float = 0.85) -> DataFrame:
-    """One row, column tau: mean + .2 deviations - .05 ln(1 + length), clamped; ``low`` without scores."""
+def adaptive_threshold(scores: DataFrame, query: str, low: float = 0.30, high: float = 0.85, extra: list[Column] | None = None) -> DataFrame:
+    """One row, column tau: mean + .2 deviations - .05 ln(1 + length), clamped; ``low`` without scores; ``extra`` aggregates beside it."""
     tau = F.avg("score") + 0.20 * F.stddev_pop("score") - 0.05 * math.log(1 + len(query))
-    return scores.agg(F.coalesce(F.round(F.greatest(F.lit(low), F.least(F.lit(high), tau)), 4), F.lit(low)).alias("tau"))
+    return scores.agg(F.coalesce(F.round(F.greatest(F.lit(low), F.least(F.lit(high), tau)), 4), F.lit(low)).alias("tau"), *(extra or []))
 
 
 def fuse(text: DataFrame, visual: DataFrame, query: str) -> DataFrame:
     """(id, score, search_type) of text candidates (id, t, is_kw) and visual ones (id, v), fused, thresholded and pruned.
 
-    One full outer join; the threshold and the prune flag are scalars of the
-    plan that are joined back, so nothing is collected.
+    One full outer join, written once; the threshold and the prune flag are two
+    scalars of one row over it that is joined back.
     """
     j = text.join(visual, "id", "full_outer")
     v = S.visual_norm(F.col("v"))
@@ -44,10 +45,12 @@ def fuse(text: DataFrame, visual: DataFrame, query: str) -> DataFrame:
     score = F.when(F.col("t").isNotNull() & F.col("v").isNotNull(), both).when(F.col("t").isNotNull(), only).when(F.col("v") >= 0.205, F.round(v, 3))
     kind = F.when(F.col("t").isNotNull() & F.col("v").isNotNull(), "multimodal").when(F.col("t").isNotNull() & kw, "keyword").when(F.col("t").isNotNull(), "semantic").otherwise("visual")
     fused = j.select("id", score.alias("score"), kind.alias("search_type")).where("score is not null")
-    tau = adaptive_threshold(fused, query)
-    kept = fused.crossJoin(F.broadcast(tau)).where("score >= tau").drop("tau")
-    sure = kept.agg(F.coalesce(F.bool_or((F.col("score") >= 0.85) & (F.col("search_type") != "visual")), F.lit(False)).alias("sure"))
-    return kept.crossJoin(F.broadcast(sure)).where("not (sure and search_type = 'visual' and score < 0.5)").drop("sure")
+    fused = Scratch(text.sparkSession).put(fused)
+    loud = F.max(F.when(F.col("search_type") != "visual", F.col("score")))
+    bounds = adaptive_threshold(fused, query, extra=[F.coalesce(loud, F.lit(0.0)).alias("loud")])
+    # a sure hit must itself reach the threshold
+    prune = (F.col("loud") >= F.greatest(F.lit(0.85), "tau")) & (F.col("search_type") == "visual") & (F.col("score") < 0.5)
+    return fused.crossJoin(F.broadcast(bounds)).where((F.col("score") >= F.col("tau")) & ~prune).select("id", "score", "search_type")
 
 
 def collapse(hits: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -109,23 +112,36 @@ def train_bernoulli(docs: DataFrame, label: str, words: tuple[str, ...]) -> Data
     return n.select(label, "n_docs", cells).select(label, "n_docs", "c.word", ((F.col("c.n") + 1.0) / (F.col("n_docs") + 2.0)).alias("p"))
 
 
+#: Classes a model may have at most, as its weights become part of the expression.
+MOST_CLASSES = 200
+
+
 def predict_bernoulli(docs: DataFrame, key: str, model: DataFrame, label: str, words: tuple[str, ...]) -> DataFrame:
-    """(key, predicted, confidence): the class with the largest posterior, four decimals.
+    """(key, predicted, confidence): the class with the largest posterior (the smaller name on ties), four decimals.
 
-    Absent words enter once per class; a text joins only the words it has.
+    The model has one row per class and word; its weights are literals of one
+    expression over the row, so texts are scored in their scan, without a
+    shuffle.  A class weighs in with its share and the absence of every word;
+    each word that is there adds its lift.
     """
-    total = model.select(label, "n_docs").distinct().agg(F.sum("n_docs").alias("total"))
-    base = model.groupBy(label).agg((F.log(F.first("n_docs").cast("double")) + F.sum(F.log(1.0 - F.col("p")))).alias("base"))
-    lift = model.select(label, "word", (F.log("p") - F.log(1.0 - F.col("p"))).alias("lift"))
+    rows = model.select(label, "n_docs", "word", "p").limit(MOST_CLASSES * len(words) + 1).collect()
+    if len(rows) > MOST_CLASSES * len(words):
+        raise ValueError(f"more than {MOST_CLASSES} classes")
+    classes = sorted({r[label] for r in rows})
+    if not classes:
+        return docs.select(key, F.lit(None).cast("string").alias("predicted"), F.lit(None).cast("double").alias("confidence"))
+    p = {(r[label], r.word): r.p for r in rows}
+    n = {r[label]: r.n_docs for r in rows}
     low = F.lower("text")
-    present = docs.select(key, F.filter(F.array(*map(F.lit, words)), lambda w: F.regexp_like(low, F.concat(F.lit(r"\b"), w, F.lit(r"\b")))).alias("ws"))
-    # the model has classes x words rows, both fixed lists
-    scored = present.select(key, F.explode_outer("ws").alias("word")).join(F.broadcast(lift), "word", "left").groupBy(key, label).agg(F.sum("lift").alias("lift"))
-    full = present.select(key).crossJoin(F.broadcast(base.crossJoin(F.broadcast(total)))).join(scored, [key, label], "left")
-    logs = full.select(key, label, (F.col("base") - F.log(F.col("total").cast("double")) + F.coalesce("lift", F.lit(0.0))).alias("lp"))
-    best = logs.groupBy(key).agg(F.max("lp").alias("m"), F.collect_list("lp").alias("all"), F.max_by(label, F.struct("lp", F.xxhash64(label))).alias("predicted"))
-    share = 1.0 / F.aggregate("all", F.lit(0.0), lambda s, x: s + F.exp(x - F.col("m")))
-    return best.select(key, "predicted", F.round(share, 4).alias("confidence"))
+    has = docs.select(key, *[F.coalesce(low.rlike(rf"\b{w}\b"), F.lit(False)).cast("int").alias(f"has_{i}") for i, w in enumerate(words)])
+    total = sum(n.values())
+    base = {c: math.log(n[c]) + sum(math.log(1.0 - p[c, w]) for w in words) - math.log(total) for c in classes}
+    lp = [sum((F.col(f"has_{i}") * (math.log(p[c, w]) - math.log(1.0 - p[c, w])) for i, w in enumerate(words)), F.lit(base[c])) for c in classes]
+    logs = has.select(key, F.array(*[F.struct(v.alias("lp"), F.lit(c).alias("name")) for c, v in zip(classes, lp)]).alias("all"))
+    most = logs.withColumn("m", F.array_max(F.transform("all", lambda x: x["lp"])))
+    share = 1.0 / F.aggregate("all", F.lit(0.0), lambda s, x: s + F.exp(x["lp"] - F.col("m")))
+    first = F.element_at(F.filter("all", lambda x: F.round(x["lp"], 9) == F.round("m", 9)), 1)["name"]
+    return most.select(key, first.alias("predicted"), F.round(share, 4).alias("confidence"))
 
 
 def fire_rules(rows: DataFrame, rules: list[tuple[str, int, Column, float]], key: str = "id") -> DataFrame:
@@ -164,3 +180,16 @@ def graph_code(features: Column, most: int = 15) -> Column:
     f = F.slice(F.array_distinct(features), 1, most)
     i = F.when(F.size(f) > 0, F.sequence(F.lit(1), F.size(f))).otherwise(F.array().cast("array<int>"))
     return F.transform(i, lambda a: F.transform(i, lambda b: ((a != b) & (F.abs(a - b) <= 2)).cast("int")))
+
+
+def within_radius(images: DataFrame, lat: float, lon: float, km: float) -> DataFrame:
+    """(id, city, km) of rows whose text or name holds a hub within ``km`` of a place; the first hub of the list counts.
+
+    The hubs are a fixed list of eleven, so city and place are literals of the
+    expression and nothing is joined.
+    """
+    text = F.lower(F.concat_ws(" ", "extracted_text", "image_name"))
+    hub = F.coalesce(*[F.when(text.contains(n), F.struct(F.lit(n).alias("city"), F.lit(a).alias("lat"), F.lit(b).alias("lon"))) for n, a, b in S.HUBS])
+    rows = images.select("id", hub.alias("h")).where("h is not null")
+    far = S.haversine(F.lit(lat), F.lit(lon), F.col("h.lat"), F.col("h.lon"))
+    return rows.select("id", "h.city", far.alias("km")).where(F.col("km") <= km)

@@ -140,8 +140,11 @@ def entity_graph(images: DataFrame) -> DataFrame:
 
 
 def known_names(wanted: DataFrame, images: DataFrame) -> DataFrame:
-    """(name, known): whether a file name, or its stem, is there already."""
+    """(name, known): whether a file name is there already, or its stem is the stem of one or what stands before its last _."""
+    full = lambda c: F.concat(F.lit("="), F.lower(F.trim(c)))
     stem = lambda c: F.regexp_replace(F.lower(F.trim(c)), r"\.[a-z0-9]+$", "")
-    have = images.where("image_name is not null").select(F.explode(F.array_distinct(F.array(F.lower(F.trim("image_name")), stem(F.col("image_name"))))).alias("key")).distinct().withColumn("known", F.lit(True))
-    w = wanted.where("name is not null").select("name", F.explode(F.array_distinct(F.array(F.lower(F.trim("name")), stem(F.col("name"))))).alias("key"))
+    before = F.when(F.col("image_name").contains("_"), F.regexp_replace(F.lower(F.trim("image_name")), "_[^_]*$", ""))
+    keys = F.array_compact(F.array(full(F.col("image_name")), stem(F.col("image_name")), before, stem(before)))
+    have = images.where("image_name is not null").select(F.explode(F.array_distinct(keys)).alias("key")).distinct().withColumn("known", F.lit(True))
+    w = wanted.where("name is not null").select("name", F.explode(F.array(full(F.col("name")), stem(F.col("name")))).alias("key"))
     return w.join(have, "key", "left").groupBy("name").agg(F.coalesce(F.bool_or("known"), F.lit(False)).alias("known"))

@@ -62,16 +62,6 @@ def candidate_phrases(spark, d):
     return m.select("id", F.explode(D.candidate_phrases(F.col("expected_title"))).alias("phrase")).distinct()
 
 
-_NUM = "[^0-9\\n]{{0,24}}?([0-9][0-9,]*(?:\\.[0-9]{{1,2}})?)"
-
-
-@query(f"""SELECT id, CASE WHEN regexp_matches(lower(extracted_text), '\\b(upi|gpay|phonepe|paytm|bhim|qr)\\b') THEN 'UPI' WHEN regexp_matches(lower(extracted_text), '\\b(card|visa|mastercard|debit|credit)\\b') THEN 'Card' WHEN regexp_matches(lower(extracted_text), '\\b(cash|cod)\\b') THEN 'Cash' WHEN regexp_matches(lower(extracted_text), '\\b(netbank|neft|rtgs|imps|challan)\\b') THEN 'Bank' ELSE 'Unknown' END AS mode,
- coalesce(TRY_CAST(replace(regexp_extract(extracted_text, '(?i)(?:grand\\s*total|net\\s*payable|total\\s*payable|amount\\s*paid){_NUM.format()}', 1), ',', '') AS DOUBLE), TRY_CAST(replace(regexp_extract(extracted_text, '(?i)\\btotal\\b{_NUM.format()}', 1), ',', '') AS DOUBLE)) AS total FROM images WHERE extracted_text IS NOT NULL""")
-def invoice_facts(spark, d):
-    rows = images(spark, d).where("extracted_text is not null").select("id", D.invoice(F.col("extracted_text")).alias("v"))
-    return rows.select("id", "v.mode", "v.total")
-
-
 _TERMS = "[" + ", ".join(f"{{'k': '{k}', 'v': '{v}'}}" for k, v in indic.TERMS.items()) + "]"
 
 

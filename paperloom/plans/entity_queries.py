@@ -49,12 +49,19 @@ def entity_phones(spark, d):
     return _rows(spark, d, E.phones, "phone")
 
 
-@query(f"""SELECT DISTINCT doc_id, CASE WHEN starts_with(lower(u), 'www.') THEN 'https://' || u ELSE u END AS url FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_esc(E.URL)}')) AS u FROM documents)""")
+_TIDY = "regexp_replace(regexp_replace(concat_ws(' ', qr_payload, extracted_text), 'https?\\s*:\\s*//\\s*', 'https://', 'gi'), '(\\w+)\\s*\\.\\s*(com|in|edu|org|net|gov|io|ai|gle)\\b', '\\1.\\2', 'gi')"
+_TRIM = "'.,;:\"'')[]{}<>'"
+
+
+@query(f"""WITH u AS (SELECT id, trim(x, {_TRIM}) AS u, n FROM (SELECT id, unnest(us) AS x, generate_subscripts(us, 1) AS n FROM (SELECT id, regexp_extract_all({_TIDY}, '{_esc(E.URL)}') AS us FROM images))),
+ f AS (SELECT id, n, CASE WHEN regexp_matches(lower(u), '^https?://') THEN u ELSE 'https://' || regexp_replace(u, '^www\\.', '', 'i') END AS url FROM u WHERE length(u) >= 4 AND NOT regexp_matches(lower(u), '\\.(?:{'|'.join(E.FILE_SUFFIXES)})$'))
+SELECT id, url FROM f QUALIFY row_number() OVER (PARTITION BY id, lower(url) ORDER BY n) = 1""")
 def entity_urls(spark, d):
-    return load(spark, d, "documents").select("doc_id", F.explode(E.urls(F.col("text"))).alias("url"))
+    text = F.concat_ws(" ", "qr_payload", "extracted_text")
+    return load(spark, d, "images").select("id", F.explode(E.urls(text)).alias("url"))
 
 
-@query(f"SELECT DISTINCT id, amount FROM (SELECT id, TRY_CAST(replace(unnest(regexp_extract_all({T}, '{E.AMOUNT}', 1)), ',', '') AS DOUBLE) AS amount FROM images) WHERE amount >= 1")
+@query(f"SELECT DISTINCT id, amount FROM (SELECT id, TRY_CAST(replace(unnest(regexp_extract_all({T}, '{E.AMOUNT}', 1)), ',', '') AS DOUBLE) AS amount, 1.0 AS least FROM images UNION ALL SELECT id, TRY_CAST(replace(unnest(regexp_extract_all({T}, '{E.AMOUNT_NEAR}', 1)), ',', '') AS DOUBLE), 10.0 FROM images) WHERE amount >= least AND NOT (least = 10 AND amount IN {E.NO_AMOUNT})")
 def entity_amounts(spark, d):
     return _rows(spark, d, E.amounts, "amount")
 

@@ -27,7 +27,7 @@ def cosine_topk(spark, d):
 @query(f"SELECT label, max(sim) AS sim, arg_max(vec_id, sim) AS vec_id FROM ({_SIM}) GROUP BY 1")
 def region_best(spark, d):
     e = load(spark, d, "embeddings")
-    sims = R.similar_to(e, "vec_id", "embedding", probe(spark, d)).join(e.select("vec_id", "label"), "vec_id")
+    sims = R.similar_to(e, "vec_id", "embedding", probe(spark, d), ("label",))
     return sims.groupBy("label").agg(F.max("sim").alias("sim"), F.max_by("vec_id", F.struct("sim", -F.col("vec_id"))).alias("vec_id"))
 
 
@@ -37,7 +37,7 @@ def region_best(spark, d):
 SELECT f.label, CASE WHEN f.source = 'full_doc' AND a.region IS NOT NULL THEN a.region ELSE f.region END AS region, CASE WHEN f.source = 'full_doc' AND a.region IS NOT NULL THEN a.sim ELSE f.sim END AS sim FROM f LEFT JOIN a USING (label)""")
 def region_pick(spark, d):
     e = load(spark, d, "embeddings").select("vec_id", "label", "embedding")
-    sims = R.similar_to(e, "vec_id", "embedding", probe(spark, d)).join(e.select("vec_id", "label"), "vec_id")
+    sims = R.similar_to(e, "vec_id", "embedding", probe(spark, d), ("label",))
     regions = sims.select("label", F.col("vec_id").alias("region"), "sim", F.when(F.col("vec_id") % 3 == 0, "full_doc").otherwise("card_proposal").alias("source"))
     return R.best_with_tolerance(regions, "label", ("full_doc",), 0.025)
 
@@ -105,18 +105,6 @@ def shannon_entropy(spark, d):
     return load(spark, d, "part").select("p_partkey", S.entropy(F.col("p_name")).alias("entropy"))
 
 
-_HUBS = ", ".join(f"('{n}', {a}, {b})" for n, a, b in S.HUBS)
-
-
-@query(f"""WITH h(city, lat, lon) AS (VALUES {_HUBS}) SELECT a.city, b.city AS other, round(2 * 6371.0 * asin(sqrt(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))), 2) AS km FROM h a, h b WHERE a.city < b.city AND round(2 * 6371.0 * asin(sqrt(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))), 2) <= 700""")
-def geo_radius(spark, d):
-    h = spark.createDataFrame(S.HUBS, "city string, lat double, lon double")
-    o = h.select(F.col("city").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    # eleven hubs
-    j = F.broadcast(h).join(F.broadcast(o), F.col("city") < F.col("other"))
-    return j.select("city", "other", S.haversine(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")).alias("km")).where("km <= 700")
-
-
 _BOX = {k: f"TRY_CAST(json_extract_string(CASE WHEN json_valid(norm_bbox_json) THEN norm_bbox_json END, '$.{k}') AS DOUBLE)" for k in ("x", "y", "width", "height")}
 _BOXES = f"SELECT * FROM (SELECT id, image_id, {_BOX['x']} AS x, {_BOX['y']} AS y, {_BOX['width']} AS w, {_BOX['height']} AS h FROM visual_regions) WHERE x IS NOT NULL AND y IS NOT NULL AND w IS NOT NULL AND h IS NOT NULL"
 
@@ -191,7 +179,10 @@ def nb_confidence(spark, d):
     return R.predict_bernoulli(docs, "doc_id", R.train_bernoulli(docs, "doc_type", NB_WORDS), "doc_type", NB_WORDS).drop("predicted")
 
 
-@query()
+@query(f"""{_NBM}, c AS (SELECT doc_type, ln(any_value(n_docs)) AS lp, sum(ln(1 - p)) AS base FROM m GROUP BY 1), tot AS (SELECT sum(n_docs) AS t FROM n), x AS (SELECT doc_id, unnest([{', '.join(repr(w) for w in NB_WORDS)}]) AS word, unnest([{', '.join("regexp_matches(lower(coalesce(text, '')), '" + chr(92) + "b" + w + chr(92) + "b')" for w in NB_WORDS)}]) AS has FROM documents),
+ s AS (SELECT x.doc_id, m.doc_type, sum(ln(p) - ln(1 - p)) AS lift FROM x JOIN m USING (word) WHERE has GROUP BY 1, 2),
+ f AS (SELECT d.doc_id, c.doc_type, lp + base - ln(t) + coalesce(lift, 0) AS lp FROM documents d CROSS JOIN c CROSS JOIN tot LEFT JOIN s ON s.doc_id = d.doc_id AND s.doc_type = c.doc_type)
+SELECT doc_id, doc_type AS predicted, round(1.0 / sum(exp(lp - m)) OVER (PARTITION BY doc_id), 4) AS confidence FROM (SELECT *, max(lp) OVER (PARTITION BY doc_id) AS m FROM f) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(lp, 9) DESC, doc_type) = 1""")
 def nb_predict(spark, d):
     docs = load(spark, d, "documents")
     return R.predict_bernoulli(docs, "doc_id", R.train_bernoulli(docs, "doc_type", NB_WORDS), "doc_type", NB_WORDS)
@@ -250,20 +241,14 @@ def job_priority(spark, d):
     return load(spark, d, "incoming_uploads").where("image_name is not null").select("upload_id", ingest.priority(F.col("image_name")).alias("priority"))
 
 
-@query("""SELECT id, row_number() OVER (PARTITION BY id ORDER BY p)::INTEGER - 1 AS place, rule FROM (SELECT id, 1 AS p, 'overdue' AS rule FROM images WHERE contains(lower(extracted_text), 'late fee') UNION ALL SELECT id, 2, 'receipt' FROM images WHERE contains(lower(extracted_text), 'received with thanks') UNION ALL SELECT id, 3, 'identity' FROM images WHERE regexp_matches(extracted_text, '\\b[A-Z]{5}[0-9]{4}[A-Z]\\b'))""")
+@query("""SELECT id, row_number() OVER (PARTITION BY id ORDER BY p)::INTEGER - 1 AS place, rule, c::DOUBLE AS certainty FROM (SELECT id, 1 AS p, 'overdue' AS rule, 0.9 AS c FROM images WHERE contains(lower(extracted_text), 'late fee') UNION ALL SELECT id, 2, 'receipt', 0.8 FROM images WHERE contains(lower(extracted_text), 'received with thanks') UNION ALL SELECT id, 3, 'identity', 0.95 FROM images WHERE regexp_matches(extracted_text, '\\b[A-Z]{5}[0-9]{4}[A-Z]\\b'))""")
 def production_rules(spark, d):
     t = F.col("extracted_text")
     rules = [("overdue", 1, F.lower(t).contains("late fee"), 0.9), ("receipt", 2, F.lower(t).contains("received with thanks"), 0.8), ("identity", 3, t.rlike(r"\b[A-Z]{5}[0-9]{4}[A-Z]\b"), 0.95)]
-    return R.fire_rules(load(spark, d, "images"), rules).drop("certainty")
-
-
-@query("""SELECT id, score FROM (SELECT id, CASE WHEN starts_with(coalesce(primary_date, ''), '2024-03') THEN 1.0::DOUBLE WHEN regexp_matches(coalesce(primary_date, ''), '^[0-9]{4}') THEN 0.0 ELSE 0.3 END AS score FROM images)""")
-def temporal_score(spark, d):
-    p = F.coalesce("primary_date", F.lit(""))
-    return load(spark, d, "images").select("id", F.when(p.startswith("2024-03"), 1.0).when(p.rlike("^[0-9]{4}"), 0.0).otherwise(0.3).alias("score"))
+    return R.fire_rules(load(spark, d, "images"), rules)
 
 
-@query()
+@query("""SELECT id, CASE WHEN contains(lower(qr_payload), 'upi://') THEN 'Payment code of ' || nullif(regexp_extract(qr_payload, '[?&]pa=([^&]*)', 1), '') WHEN contains(lower(extracted_text), 'receipt') THEN 'Text mentions receipt' WHEN contains(lower(image_name), 'receipt') THEN 'File name mentions receipt' ELSE 'Similar content' END AS reason FROM images WHERE NOT coalesce(is_quarantined, false)""")
 def match_reasons(spark, d):
     """Why a row was found, by precedence: payload, text, name, otherwise vector."""
     images = load(spark, d, "images")

@@ -54,10 +54,15 @@ def lexical_tokens(spark, d):
     return load(spark, d, "documents").where("text is not null").select("doc_id", T.lexical_tokens(F.col("text")).alias("tokens"))
 
 
-@query(f"""WITH w AS (SELECT coalesce(doc_type, '') AS doc_type, doc_id, unnest(list_filter(list_transform(regexp_extract_all(CASE WHEN regexp_matches(text, '%[0-9A-Fa-f]{{2}}') THEN url_decode(text) ELSE text END, '{T.LEXICAL}'), lambda w: lower(w)), lambda w: w NOT IN {STOP} AND length(w) > 3)) AS term FROM documents),
- tf AS (SELECT doc_type, term, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM w GROUP BY 1), n AS (SELECT count(*) AS nd FROM documents),
- s AS (SELECT doc_type, term, round(tf * (ln((nd + 1.0) / (df + 1.0)) + 1.0), 4) AS weight FROM tf JOIN df USING (term), n)
-SELECT doc_type, term, weight, row_number() OVER (PARTITION BY doc_type ORDER BY weight DESC, term)::INTEGER AS rank FROM s QUALIFY rank <= 5""")
+def keyword_sql(table: str, by: str) -> str:
+    """The five heaviest words of every group of texts."""
+    return f"""WITH w AS (SELECT coalesce({by}, '') AS {by}, doc_id, unnest(list_filter(list_transform(regexp_extract_all(CASE WHEN regexp_matches(text, '%[0-9A-Fa-f]{{2}}') THEN url_decode(text) ELSE text END, '{T.LEXICAL}'), lambda w: lower(w)), lambda w: w NOT IN {STOP} AND length(w) > 3)) AS term FROM {table}),
+ tf AS (SELECT {by}, term, count(*) AS tf FROM w GROUP BY 1, 2), df AS (SELECT term, count(DISTINCT doc_id) AS df FROM w GROUP BY 1), n AS (SELECT count(*) AS nd FROM {table}),
+ s AS (SELECT {by}, term, round(tf * (ln((nd + 1.0) / (df + 1.0)) + 1.0), 4) AS weight FROM tf JOIN df USING (term), n)
+SELECT {by}, term, weight, row_number() OVER (PARTITION BY {by} ORDER BY weight DESC, term)::INTEGER AS rank FROM s QUALIFY rank <= 5"""
+
+
+@query(keyword_sql("documents", "doc_type"))
 def tfidf_keywords(spark, d):
     docs = load(spark, d, "documents").withColumn("doc_type", F.coalesce("doc_type", F.lit("")))
     return P.keyword_weights(docs, "doc_type", 5)
@@ -110,21 +115,42 @@ def tfidf_sentences(spark, d):
     return lexical.sentence_scores(load(spark, d, "documents")).withColumn("sentence_no", F.col("sentence_no").cast("long"))
 
 
-@query("""SELECT doc_id, """ + ", ".join(f"({' + '.join(chr(40) + 'regexp_matches(lower(text), ' + chr(39) + chr(92) + 'b' + k + chr(92) + 'b' + chr(39) + ')::INT)' for k in ks)})::INTEGER AS {name}" for name, ks in lexical.TONES.items()) + " FROM documents WHERE text IS NOT NULL")
+_TONE = {name: "(" + " + ".join(f"regexp_matches(lower(text), '\\b{w}\\b')::INT" for w in ws) + ")" for name, ws in lexical.TONES.items()}
+
+
+@query("SELECT doc_id, " + ", ".join(f'{n}::INTEGER AS "{name}"' for name, n in _TONE.items()) + " FROM documents WHERE text IS NOT NULL")
 def tone_counts(spark, d):
     docs = load(spark, d, "documents").where("text is not null")
     return docs.select("doc_id", *[c.alias(n) for n, c in lexical.tone_counts(F.col("text")).items()])
 
 
+@query(f"""WITH n AS (SELECT doc_id, [{', '.join(_TONE.values())}] AS n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN list_max(n) > 0 THEN {list(_TONE)!r}[list_position(n, list_max(n))] ELSE 'general' END AS tone, CASE WHEN list_sum(n) > 0 THEN round(list_max(n) / list_sum(n), 4) ELSE 0 END::DOUBLE AS share, n[4] > 0 AS urgent FROM n""")
+def text_tone(spark, d):
+    return load(spark, d, "documents").where("text is not null").select("doc_id", lexical.tone(F.col("text")).alias("t")).select("doc_id", "t.*")
+
+
 @query("""SELECT id, list_distinct(list_transform(regexp_extract_all(extracted_text, '(?i)\\brece[a-z0-9_]*'), lambda x: lower(x))) AS marks FROM images WHERE len(regexp_extract_all(extracted_text, '(?i)\\brece[a-z0-9_]*')) > 0""".replace("list_distinct(", "list_sort(list_distinct(").replace("lower(x)))", "lower(x))))"))
 def keyword_highlights(spark, d):
     found = F.array_distinct(F.transform(T.all_of(F.col("extracted_text"), r"(?i)\brece[a-z0-9_]*"), F.lower))
     return load(spark, d, "images").select("id", F.sort_array(found).alias("marks")).where("size(marks) > 0")
 
 
-@query("""WITH q AS (SELECT ['amount', 'due', 'bill'] AS q), s AS (SELECT id, unnest(list_filter(list_transform(regexp_split_to_array(extracted_text, '[.\\n\\r]+'), lambda s: trim(s, ' ')), lambda s: length(s) >= 5)) AS sentence FROM images),
- r AS (SELECT id, sentence, round((contains(lower(sentence), 'amount')::INT + contains(lower(sentence), 'due')::INT + contains(lower(sentence), 'bill')::INT) * 1.5 / 3.0, 4) AS score FROM s)
-SELECT id, sentence, score FROM (SELECT DISTINCT * FROM r) WHERE score > 0.2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, sentence) <= 2""")
+def _set(w: str) -> str:
+    return T.sql_set(w)
+
+
+def qa_sql(words: tuple[str, ...], top: int, where: str = "true") -> str:
+    """The best sentences of each text for the words of a question."""
+    dice = " + ".join(f"list_sum(list_transform(list_filter(list_transform(toks, lambda t: round(2.0 * len(list_intersect({_set('t')}, {_set(repr(w))})) / (len({_set('t')}) + len({_set(repr(w))})), 4)), lambda x: x >= 0.75), lambda x: x))" for w in words).replace("list_sum(", "coalesce(list_sum(").replace("lambda x: x))", "lambda x: x)), 0)")
+    hits = " + ".join(f"contains(lower(sentence), '{w}')::INT" for w in words)
+    return f"""WITH s AS (SELECT DISTINCT id, unnest(list_filter(list_transform(regexp_split_to_array(extracted_text, '[.\\n\\r]+'), lambda s: trim(s, ' ')), lambda s: length(s) >= 5)) AS sentence FROM images WHERE {where}),
+ t AS (SELECT id, sentence, list_filter(regexp_extract_all(lower(sentence), '[a-zA-Z0-9\\x{{0900}}-\\x{{097F}}]+'), lambda t: length(t) >= 2) AS toks FROM s),
+ r AS (SELECT id, sentence, round((({hits}) * 1.5 + {dice}) / {len(words)}.0, 3) AS score FROM t)
+SELECT id, sentence, score FROM r WHERE score > 0.2 QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, sentence) <= {top}"""
+
+
+@query(qa_sql(("amount", "due", "bill"), 2))
 def qa_sentences(spark, d):
     return lexical.answer_sentences(load(spark, d, "images"), ("amount", "due", "bill"), 2)
 
@@ -135,7 +161,15 @@ def specific_values(spark, d):
     return load(spark, d, "images").where(c.isNotNull()).select("id", lexical.specific_value(c, "amount").alias("amount"), lexical.specific_value(c, "date").alias("date_value"))
 
 
-@query("""SELECT id, concat_ws(' ', nullif(trim(coalesce(extracted_text, '')), ''), nullif(trim(coalesce(blip_caption, '')), ''), nullif(trim(coalesce(qr_payload, '')), ''), nullif(trim(coalesce(stego_payload, '')), ''), nullif(trim(coalesce(category, '')), '')) AS searchable FROM images""")
+_PLAIN = "nullif(trim(coalesce({c}, ''), ' '), '')"
+_META = "CASE WHEN json_valid(visual_metadata) THEN visual_metadata::JSON END"
+_CODED = f"(coalesce(has_visual_objects, false) OR coalesce((json_extract_string({_META}, '$.detected') = 'true'), false) OR trim(coalesce(qr_payload, ''), ' ') <> '')"
+_OBJECTS = f"array_to_string(list_transform(from_json(coalesce(json_extract({_META}, '$.objects'), '[]'), '[{{\"label\":\"VARCHAR\",\"type\":\"VARCHAR\",\"data\":\"VARCHAR\"}}]'), lambda o: concat_ws(' ', o.label, o.type, o.data)), ' ')"
+SEARCHABLE = f"""concat_ws(' ', {', '.join(_PLAIN.format(c=c) for c in ('extracted_text', 'cleaned_text', 'blip_caption', 'qr_payload', 'stego_payload'))},
+ nullif(array_to_string(json_extract_string(CASE WHEN json_valid(entities_json) THEN entities_json::JSON END, '$.urls[*]'), ' '), ''), nullif(trim(concat_ws(' ', CASE WHEN {_CODED} THEN '{lexical.CODE_WORDS}' END, json_extract_string({_META}, '$.type'), {_OBJECTS}), ' '), ''), {_PLAIN.format(c='category')})"""
+
+
+@query(f"SELECT id, {SEARCHABLE} AS searchable FROM images")
 def searchable_text(spark, d):
     return load(spark, d, "images").select("id", lexical.searchable_text().alias("searchable"))
 
@@ -170,7 +204,9 @@ def cross_weighted(spark, d):
     return _parts(spark, d).select("p_partkey", lexical.cross_weighted(F.col("p_name"), F.lit(LIT)).alias("similarity"))
 
 
-@query()
+@query(f"""WITH s AS (SELECT DISTINCT doc_id, unnest({_SENT}) AS sentence FROM documents WHERE text IS NOT NULL),
+ d AS (SELECT doc_id, sentence, round((CASE WHEN regexp_matches(sentence, '[0-9]') THEN 2.0 ELSE 0 END) + (CASE WHEN regexp_matches(lower(sentence), '₹|\\b(rs|inr|rupees|tax|gst|total|amount)\\b') THEN 2.5 ELSE 0 END) + len(regexp_extract_all(sentence, '\\b[A-Z]{{3,}}\\b')) * 0.8 + (CASE WHEN length(sentence) BETWEEN 15 AND 120 THEN 1.5 ELSE 0 END), 4)::DOUBLE AS score FROM s)
+SELECT doc_id, sentence, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sentence)::INTEGER AS rank FROM d QUALIFY rank <= 4""")
 def density_summary(spark, d):
     return lexical.density_summary(load(spark, d, "documents"), 4)
 
