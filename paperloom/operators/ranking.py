@@ -151,28 +151,46 @@ def fire_rules(rows: DataFrame, rules: list[tuple[str, int, Column, float]], key
     return rows.select(key, F.posexplode(held).alias("place", "r")).select(key, "place", "r.rule", F.round("r.certainty", 3).alias("certainty"))
 
 
-def precision_measures(ranked: DataFrame, by: str, k: int = 10) -> DataFrame:
+def precision_measures(hits: DataFrame, by: str, k: int = 10) -> DataFrame:
     """(by, ap, p5, p10, mrr): average precision at k, precision at 5 and 10, reciprocal rank of the first hit.
 
-    ``ranked``: by, place (from 1), relevant (boolean), n_relevant.
+    ``hits``: by, id, s (score), relevant; the smaller id comes first on ties.
+    Only the k first places are ranked; the place of the first relevant hit is
+    counted, so no query's hits are sorted in one task.
     """
-    w = Window.partitionBy(by).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    hits = ranked.withColumn("h", F.sum(F.col("relevant").cast("int")).over(w))
-    within = F.col("relevant") & (F.col("place") <= k)
-    return hits.groupBy(by).agg(
-        F.round(F.sum(F.when(within, F.col("h") / F.col("place")).otherwise(0.0)) / F.greatest(F.lit(1), F.least(F.lit(k), F.max("n_relevant"))), 4).alias("ap"),
-        F.round(F.sum((F.col("relevant") & (F.col("place") <= 5)).cast("int")) / 5.0, 4).alias("p5"),
-        F.round(F.sum((F.col("relevant") & (F.col("place") <= 10)).cast("int")) / 10.0, 4).alias("p10"),
-        F.round(F.coalesce(1.0 / F.min(F.when(F.col("relevant"), F.col("place"))), F.lit(0.0)), 4).alias("mrr"),
+    order = F.struct("s", (-F.col("id")).alias("i"))
+    first = hits.groupBy(by).agg(F.max(F.when(F.col("relevant"), order)).alias("best"), F.count_if("relevant").alias("n_relevant"))
+    # one row per query
+    before = hits.join(F.broadcast(first), by).where(order >= F.col("best")).groupBy(by).agg(F.count("*").alias("first_place"))
+    top = hits.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("s"), "id"))).where(F.col("place") <= k)
+    found = top.withColumn("h", F.sum(F.col("relevant").cast("int")).over(Window.partitionBy(by).orderBy("place").rowsBetween(Window.unboundedPreceding, 0))).where("relevant")
+    per = found.groupBy(by).agg(F.sum(F.col("h") / F.col("place")).alias("gain"), F.count_if(F.col("place") <= 5).alias("in5"), F.count_if(F.col("place") <= 10).alias("in10"))
+    j = first.join(before, by, "left").join(per, by, "left")
+    none = F.lit(0)
+    return j.select(
+        by,
+        F.round(F.coalesce("gain", F.lit(0.0)) / F.greatest(F.lit(1), F.least(F.lit(k), "n_relevant")), 4).alias("ap"),
+        F.round(F.coalesce("in5", none) / 5.0, 4).alias("p5"),
+        F.round(F.coalesce("in10", none) / 10.0, 4).alias("p10"),
+        F.round(F.coalesce(1.0 / F.col("first_place"), F.lit(0.0)), 4).alias("mrr"),
     )
 
 
 def stratified_split(rows: DataFrame, by: str, key: str = "id") -> DataFrame:
-    """(key, part): 70 / 15 / 15 dev, val, test within each stratum, in the order of a hash."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.md5(F.col(key).cast("string"))))
-    n = F.count("*").over(Window.partitionBy(by))
-    share = (place - 1) / n
-    return rows.select(key, F.when(share < 0.70, "dev").when(share < 0.85, "val").otherwise("test").alias("part"))
+    """(key, part): 70 / 15 / 15 dev, val, test within each stratum, in the order of a hash.
+
+    A stratum is cut into 4 096 ranges of the hash: rows are placed within
+    their range and shifted by the ranges before it, so a stratum of any size
+    is spread over many tasks.
+    """
+    hashed = rows.select(key, by, F.md5(F.col(key).cast("string")).alias("h")).withColumn("cell", F.substring("h", 1, 3))
+    sizes = hashed.groupBy(by, "cell").agg(F.count("*").alias("size"))
+    w = Window.partitionBy(by).orderBy("cell")
+    shifts = sizes.select(F.col(by).alias("b"), F.col("cell").alias("c"), (F.sum("size").over(w) - F.col("size")).alias("shift"), F.sum("size").over(Window.partitionBy(by)).alias("n"))
+    own = hashed.withColumn("r", F.row_number().over(Window.partitionBy(by, "cell").orderBy("h")))
+    placed = own.join(shifts, F.col(by).eqNullSafe(F.col("b")) & (F.col("cell") == F.col("c")))
+    share = (F.col("r") - 1 + F.col("shift")) / F.col("n")
+    return placed.select(key, F.when(share < 0.70, "dev").when(share < 0.85, "val").otherwise("test").alias("part"))
 
 
 def graph_code(features: Column, most: int = 15) -> Column:
