@@ -20,7 +20,8 @@ import math
 import re
 from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -361,7 +362,7 @@ def _edge_lines(lines: list[str], stripped: list[str], out: dict[int, str]) -> s
             base = [k for k, at in keys.items() if len(at) >= 2 and len(at) >= (0.6 if len(at) == 2 else 0.4) * pages]
             trie = Trie(k for k in base if len(k) >= 8)
             for k, at in keys.items():
-                if k in base or len(k) >= 8 and trie.root and within(trie, k, max(1, min(3, len(k) // 8))):
+                if k in base or len(k) >= 8 and trie.root and _may_match(k, base, most := max(1, min(3, len(k) // 8))) and within(trie, k, most):
                     new.update(at)
         if not new:
             return got
@@ -372,6 +373,13 @@ def _edge_lines(lines: list[str], stripped: list[str], out: dict[int, str]) -> s
     return got
 
 
+def _may_match(line: str, others: Iterable[str], most: int) -> bool:
+    """Whether another line can lie within ``most`` edits: of one more pieces than edits, one must stand in it unchanged."""
+    n = len(line)
+    pieces = [line[i * n // (most + 1) : (i + 1) * n // (most + 1)] for i in range(most + 1)]
+    return any(abs(len(o) - n) <= most and o != line and any(p in o for p in pieces) for o in others)
+
+
 def furniture(lines: list[str]) -> dict[int, str]:
     """'running' or 'page_number' by line."""
     out: dict[int, str] = {}
@@ -389,7 +397,7 @@ def furniture(lines: list[str]) -> dict[int, str]:
     trie = Trie(k for k in keys if len(k) >= 8) if len(keys) > 1 else None
     for k, at in keys.items():
         # a running line may be misread on some pages
-        if k in base or trie and len(k) >= 8 and any(w != k for w, _ in within(trie, k, max(1, min(3, len(k) // 8)))):
+        if k in base or trie and len(k) >= 8 and _may_match(k, keys, most := max(1, min(3, len(k) // 8))) and any(w != k for w, _ in within(trie, k, most)):
             for i in at:
                 out[i] = "running"
     if not numbers:
@@ -408,20 +416,29 @@ _CODE = re.compile(r"[A-Z]{2,}[-/]?\d+(?:[-/]\d+)*")
 LONGEST_WORD = 60
 
 
+@lru_cache(maxsize=200_000)
+def _parts_of(p: str) -> tuple[tuple[int, int, str], ...]:
+    """(start, end, word) of the words in a run without blanks."""
+    if "://" in p or p.count("/") > 1 or "@" in p and not _PLAIN_SIGN.fullmatch(p):
+        return ()
+    if _CODE.search(p):
+        p = _CODE.sub(lambda m: " " * len(m.group()), p)
+    out = []
+    for m in _SUSPECT.finditer(p):
+        w = m.group()
+        letters = sum(map(str.isalpha, w))
+        if letters >= 2 and letters >= 0.6 * len(w) and not w.isupper() and "'" not in w:
+            out.append((m.start(), m.end(), w))
+    return tuple(out)
+
+
 def _tokens(line: str) -> list[tuple[int, int, str]]:
     """(start, end, word) of the words of a line that may be ordinary words; addresses, handles, paths and codes are none."""
     out = []
     for part in _BLANK.finditer(line):
-        p = part.group()
-        if "://" in p or p.count("/") > 1 or "@" in p and not _PLAIN_SIGN.fullmatch(p):
-            continue
-        if _CODE.search(p):
-            p = _CODE.sub(lambda m: " " * len(m.group()), p)
-        for m in _SUSPECT.finditer(p):
-            w = m.group()
-            letters = sum(c.isalpha() for c in w)
-            if letters >= 2 and letters >= 0.6 * len(w) and not w.isupper() and "'" not in w:
-                out.append((part.start() + m.start(), part.start() + m.end(), w))
+        at = part.start()
+        for a, b, w in _parts_of(part.group()):
+            out.append((at + a, at + b, w))
     return out
 
 
