@@ -27,6 +27,26 @@ SELECT group_id, id AS image_id FROM scored
 QUALIFY row_number() OVER (PARTITION BY group_id ORDER BY n DESC, created_at DESC NULLS LAST, id) = 1
 """
 
+_FIELDS = ("extracted_text", "category", "blip_caption", "qr_payload", "primary_date", "exif_created_at", "entities_json", "file_format", "image_width")
+_OUTER = "lower(regexp_replace({c}::VARCHAR, '^[\\s\\p{{Z}}\\p{{Cf}}]+|[\\s\\p{{Z}}\\p{{Cf}}]+$', '', 'g'))"
+
+
+def _held(c: str) -> str:
+    if c == "image_width":
+        return f"{c} > 0"
+    p = _OUTER.format(c=c)
+    return f"{c} IS NOT NULL AND {f'regexp_replace({p}, {chr(39)}{chr(92)}s+{chr(39)}, {chr(39)}{chr(39)}, {chr(39)}g{chr(39)})' if c.endswith('_json') else p} NOT IN {_STAND_INS}"
+
+
+_P1_RECORDS = _LINKED.format(links="SELECT id AS a, canonical_image_id AS b FROM images") + f"""
+, own AS (SELECT g.group_id, i.*, (CASE {_OUTER.format(c='indexing_status')} WHEN 'completed' THEN 1.0 WHEN 'processing' THEN 0.6 WHEN 'failed' THEN 0.3 ELSE 0.5 END) * (CASE WHEN is_quarantined THEN 0.1 ELSE 1.0 END) AS trust,
+  max(i.created_at) OVER (PARTITION BY g.group_id) AS newest FROM images i JOIN grouped g ON i.id = g.image_id),
+cells AS ({' UNION ALL '.join(f"SELECT group_id, id, created_at, trust::DOUBLE * coalesce(pow(2.0, -date_diff('day', created_at::DATE, newest::DATE) / 180.0), 0.0) AS weight, '{f}' AS field, {f}::VARCHAR AS value, {_OUTER.format(c=f)} AS key FROM own WHERE {_held(f)}" for f in _FIELDS)}),
+votes AS (SELECT group_id, field, key, sum(weight) AS votes, max(created_at) AS seen, arg_min(value, id) AS value FROM cells GROUP BY 1, 2, 3),
+won AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY group_id, field ORDER BY round(votes, 12) DESC, seen DESC NULLS LAST, key) = 1)
+SELECT g.group_id, {', '.join(f"max(CASE WHEN field = '{f}' THEN value END) AS {f}" for f in _FIELDS)} FROM (SELECT DISTINCT group_id FROM grouped) g LEFT JOIN won USING (group_id) GROUP BY 1
+"""
+
 _P4 = _LINKED.format(links="SELECT id AS a, canonical_image_id AS b FROM images UNION ALL SELECT source_image_id, target_image_id FROM image_relationships") + "SELECT group_id, image_id FROM grouped"
 
 
@@ -46,6 +66,7 @@ dup AS (SELECT DISTINCT x.n AS upload_id FROM clean x JOIN clean y ON x.user_id
 
 ORACLES = {
     "p1_found": _P1,
+    "p1_records": _P1_RECORDS,
     "p3_found": _SEEN + "SELECT upload_id FROM dup",
     "p3_decisions": _SEEN + "SELECT DISTINCT u.upload_id, CASE WHEN d.upload_id IS NULL THEN 'new' ELSE 'duplicate' END AS decision FROM incoming_uploads u LEFT JOIN dup d USING (upload_id) WHERE u.upload_id IS NOT NULL",
     "p4_found": _P4,
