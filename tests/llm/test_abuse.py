@@ -1,4 +1,6 @@
-"""Problem 10: words written together."""
+"""Problem 10: words written together, thresholds, many texts at once."""
+
+import numpy as np
 
 from paperloom.llm import abuse
 
@@ -14,3 +16,21 @@ def test_overlong_words_are_read_to_their_end():
         word = ("ab" * n)[:n]
         got = abuse.words(word)
         assert got[0] == word[:40] and word.endswith(got[-1]) and (len(got) == 1) == (n <= 40)
+
+
+def test_threshold_follows_most_ratings():
+    rng = np.random.default_rng(1)
+    truth = np.arange(400) < 40
+    value = np.where(truth, 0.35 + 0.1 * rng.random(400), 0.1 * rng.random(400))
+    assert abuse.best_threshold(value, truth) == 0.3
+    value = np.where(truth, 0.85 + 0.15 * rng.random(400), 0.1 * rng.random(400))
+    value[0], value[399] = 0.0, 0.93  # two wrong ratings
+    assert 0.6 <= abuse.best_threshold(value, truth) <= 0.9
+
+
+def test_many_texts_score_like_one():
+    model = abuse.train(["you are a fool", "the bill is paid"] * 20, [{"abusive": 1.0}, {"none": 1.0}] * 20, rounds=1)
+    texts = [None, "", "you fool", "a " * 300 + "you are a fool", "the bill", "x" * 90, "12 34", "you fool"]
+    many = model.scores_of(texts)
+    assert many.shape == (8, 4) and np.allclose(many, np.vstack([model.scores(t) for t in texts])) and np.allclose(many.sum(1)[:2], 1.0)
+    assert (many[2] == many[7]).all() and many[0, 0] == 1.0 and model.scores_of([]).shape == (0, 4)
