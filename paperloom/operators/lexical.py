@@ -87,6 +87,21 @@ def sentence_scores(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return scored.groupBy(key, "sentence_no").agg(F.round(F.sum(F.col("c") / F.col("size") * (F.log((F.col("ns") + 1.0) / (F.col("df") + 1.0)) + 1.0)), 4).alias("score"))
 
 
+def summary(docs: DataFrame, top: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, summary, n_sentences): the ``top`` best sentences of each text, in the order of the text."""
+    w = Window.partitionBy(key).orderBy(F.desc("score"), "sentence_no")
+    best = sentence_scores(docs, key, text).withColumn("r", F.row_number().over(w)).where(F.col("r") <= top).select(key, "sentence_no")
+    s = docs.select(key, F.posexplode(T.sentences(F.col(text))).alias("sentence_no", "sentence"))
+    kept = best.join(s, [key, "sentence_no"]).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("sentence_no", "sentence"))).alias("all"))  # at most ``top`` a text
+    return kept.select(key, F.array_join(F.transform("all", lambda x: x["sentence"]), " ").alias("summary"), F.size("all").alias("n_sentences"))
+
+
+def dice_band(tokens: Column, word: str, exact: float = 0.9, fuzzy: float = 0.7) -> Column:
+    """The similarity of the token nearest to a word, and the band it falls in; null without tokens."""
+    best = F.array_max(F.transform(F.filter(tokens, lambda t: t != ""), lambda t: T.dice(t, F.lit(word))))
+    return F.struct(best.alias("best"), F.when(best >= exact, "exact").when(best >= fuzzy, "fuzzy").otherwise("none").alias("band"))
+
+
 def _close(tokens: Column, word: str, least: float = 0.75) -> Column:
     """Sum of the similarities of tokens to a word, of those that reach ``least``.
 

@@ -235,17 +235,26 @@ def timeline_transitions(spark, d):
     return t.withColumn("added", F.array_join("added", ",")).withColumn("removed", F.array_join("removed", ","))
 
 
-@query()
+@query(f"""WITH m AS ({_MOVES}), w AS (SELECT id, lower(concat_ws(' ', replace(added, ',', ' '), replace(removed, ',', ' '), status_to)) AS t, len(list_intersect(string_split(added || ',' || removed, ','), ['payment', 'receipt'])) > 0 AS touched, status_from <> status_to AND status_to = 'PAID' AS paid FROM m)
+SELECT id, round(least(1.0, touched::INT * 0.8 + paid::INT * 0.9 + (contains(t, 'payment')::INT + contains(t, 'receipt')::INT) * 0.2), 4)::DOUBLE AS score FROM w WHERE touched OR paid OR contains(t, 'payment') OR contains(t, 'receipt')""")
 def change_search(spark, d):
     return R.change_scores(R.transitions(images(spark, d)), "payment receipt")
 
 
-@query(f"""WITH m AS (SELECT DISTINCT i.user_id, s.id, s.rel_type || ':' || lower(s.value) AS entity, 'HAS_' || upper(replace(s.rel_type, 'shared_', '')) AS edge FROM ({STRONG_SQL}) s JOIN images i ON i.id = s.id), c AS (SELECT user_id, entity FROM m GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT id AS source, entity AS target, edge FROM m JOIN c USING (user_id, entity)""")
+_GRAPH = f"""WITH m AS (SELECT DISTINCT i.user_id, s.id, s.rel_type || ':' || lower(s.value) AS entity, 'HAS_' || upper(replace(s.rel_type, 'shared_', '')) AS edge FROM ({STRONG_SQL}) s JOIN images i ON i.id = s.id), c AS (SELECT user_id, entity FROM m GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT id AS source, entity AS target, edge FROM m JOIN c USING (user_id, entity)"""
+
+
+@query(_GRAPH)
 def knowledge_graph(spark, d):
     return R.entity_graph(images(spark, d))
 
 
+@query(f"""WITH g AS ({_GRAPH}) SELECT count(DISTINCT source) AS n_documents, count(DISTINCT target) AS n_entities, count(DISTINCT (source, target, edge)) AS n_edges FROM g""")
+def graph_counts(spark, d):
+    return R.entity_graph(images(spark, d)).agg(F.countDistinct("source").alias("n_documents"), F.countDistinct("target").alias("n_entities"), F.countDistinct("source", "target", "edge").alias("n_edges"))
+
+
 _CLEAN = "(SELECT user_id, id, CASE WHEN regexp_full_match(s, '[0-9a-f]{64}') AND replace(s, left(s, 1), '') <> '' THEN s END AS s, CASE WHEN regexp_full_match(p, '[0-9a-f]{16}') AND replace(p, left(p, 1), '') <> '' THEN ('0x' || p)::UBIGINT END AS p FROM (SELECT user_id, id, " + _HASH.format(c="sha256_hash") + " AS s, " + _HASH.format(c="phash") + " AS p FROM images WHERE NOT coalesce(is_quarantined, false)))"
 
 

@@ -78,6 +78,13 @@ def dice_similarity(spark, d):
     return _parts(spark, d).select("p_partkey", T.dice(F.col("p_name"), F.lit(LIT)).alias("dice"))
 
 
+@query(f"""WITH t AS (SELECT p_partkey, list_max(list_transform(list_filter(string_split(p_name, ' '), lambda w: w <> ''), lambda w: round(2.0 * len(list_intersect({T.sql_set('w')}, {T.sql_set("'stele'")})) / (len({T.sql_set('w')}) + len({T.sql_set("'stele'")})), 4))) AS best FROM part)
+SELECT p_partkey, best, CASE WHEN best >= 0.9 THEN 'exact' WHEN best >= 0.7 THEN 'fuzzy' ELSE 'none' END AS band FROM t""")
+def dice_bands(spark, d):
+    b = lexical.dice_band(F.split("p_name", " "), "stele")
+    return _parts(spark, d).select("p_partkey", b.alias("b")).select("p_partkey", "b.best", "b.band")
+
+
 @query("""SELECT p_partkey, round(((CASE WHEN contains(lower(p_name), 'steel') THEN 1.0 ELSE (contains(lower(p_name), 'eel')::INT + contains(lower(p_name), 'ste')::INT + contains(lower(p_name), 'stee')::INT + contains(lower(p_name), 'steel')::INT + contains(lower(p_name), 'tee')::INT + contains(lower(p_name), 'teel')::INT) / 6.0 END)) / 1.0, 4) AS support FROM part""")
 def subword_support(spark, d):
     return _parts(spark, d).select("p_partkey", T.subword_support(F.col("p_name"), "steel").alias("support"))
@@ -106,15 +113,26 @@ def chunk_windows(spark, d):
 _SENT = "list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1\n', 'g'), '\\n+'), lambda s: trim(s, ' ')), lambda s: length(s) >= 10)"
 
 
-@query(f"""WITH s AS (SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS n FROM (SELECT doc_id, {_SENT} AS ss FROM documents WHERE text IS NOT NULL)),
+_SCORED = f"""WITH s AS (SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS n FROM (SELECT doc_id, {_SENT} AS ss FROM documents WHERE text IS NOT NULL)),
  w AS (SELECT doc_id, n, list_filter(regexp_extract_all(lower(sentence), '[a-z]{{2,}}'), lambda x: x NOT IN {STOP}) AS ws FROM s),
  t AS (SELECT doc_id, n, unnest(ws) AS term, len(ws) AS size FROM w), tf AS (SELECT doc_id, n, term, size, count(*) AS c FROM t GROUP BY ALL),
  df AS (SELECT doc_id, term, count(*) AS df FROM tf GROUP BY 1, 2), ns AS (SELECT doc_id, count(*) AS ns FROM s GROUP BY 1)
-SELECT tf.doc_id, tf.n AS sentence_no, round(sum(c / size * (ln((ns + 1.0) / (df + 1.0)) + 1.0)), 4) AS score FROM tf JOIN df USING (doc_id, term) JOIN ns USING (doc_id) GROUP BY 1, 2""")
+SELECT tf.doc_id, tf.n AS sentence_no, round(sum(c / size * (ln((ns + 1.0) / (df + 1.0)) + 1.0)), 4) AS score FROM tf JOIN df USING (doc_id, term) JOIN ns USING (doc_id) GROUP BY 1, 2"""
+
+
+@query(_SCORED)
 def tfidf_sentences(spark, d):
     return lexical.sentence_scores(load(spark, d, "documents")).withColumn("sentence_no", F.col("sentence_no").cast("long"))
 
 
+@query(f"""WITH r AS ({_SCORED}), t AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, sentence_no) <= 3),
+ s AS (SELECT doc_id, unnest(ss) AS sentence, generate_subscripts(ss, 1) - 1 AS sentence_no FROM (SELECT doc_id, {_SENT} AS ss FROM documents WHERE text IS NOT NULL))
+SELECT doc_id, md5(string_agg(sentence, ' ' ORDER BY sentence_no)) AS digest, count(*) AS n_sentences FROM t JOIN s USING (doc_id, sentence_no) GROUP BY 1""")
+def tfidf_summary(spark, d):
+    s = lexical.summary(load(spark, d, "documents"), 3)
+    return s.select("doc_id", F.md5("summary").alias("digest"), F.col("n_sentences").cast("long").alias("n_sentences"))
+
+
 _TONE = {name: "(" + " + ".join(f"regexp_matches(lower(text), '\\b{w}\\b')::INT" for w in ws) + ")" for name, ws in lexical.TONES.items()}
 
 
@@ -174,7 +192,16 @@ def searchable_text(spark, d):
     return load(spark, d, "images").select("id", lexical.searchable_text().alias("searchable"))
 
 
-@query()
+def _sanitised_sql(c: str) -> str:
+    for tag in ("script", "iframe", "object", "embed", "style", "link", "meta", "form"):
+        c = f"regexp_replace(regexp_replace({c}, '(?is)<{tag}[^>]*>.*?</{tag}>', '', 'g'), '(?i)</?{tag}[^>]*>', '', 'g')"
+    c = f"regexp_replace(regexp_replace({c}, '(?i)\\bon[a-z]+\\s*=\\s*(\"[^\"]*\"|''[^'']*''|[^\\s>]+)', '', 'g'), '(?i)javascript:', '', 'g')"
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        c = f"replace({c}, '{raw}', '{safe}')"
+    return f"trim({c}, ' ')"
+
+
+@query(f"SELECT doc_id, {_sanitised_sql('text')} AS safe FROM documents")
 def sanitized_text(spark, d):
     return load(spark, d, "documents").select("doc_id", T.sanitized(F.col("text")).alias("safe"))
 
