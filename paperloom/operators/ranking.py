@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -81,6 +82,50 @@ def profile(feedback: DataFrame, docs: DataFrame) -> DataFrame:
     return tags.groupBy("user", "tag").agg(F.sum(F.when(F.col("relevant"), 0.5).otherwise(0.0)).alias("pos"), F.sum(F.when(~F.col("relevant"), 0.5).otherwise(0.0)).alias("neg"))
 
 
+def object_profile(feedback: DataFrame, docs: DataFrame) -> DataFrame:
+    """(user, tag, pos, neg): one point for each visual object (column ``objects``) of a judged row."""
+    tags = feedback.join(docs.select("doc_id", "objects"), "doc_id").select("user", "relevant", F.explode(F.transform("objects", F.lower)).alias("tag"))
+    return _points(tags, "tag", 1.0)
+
+
+def category_profile(feedback: DataFrame, docs: DataFrame) -> DataFrame:
+    """(user, category, pos, neg): one point for the category of a judged row; rows without one give none."""
+    rows = feedback.join(docs.select("doc_id", "category"), "doc_id").where("category <> ''")
+    return _points(rows, "category", 1.0)
+
+
+def _points(rows: DataFrame, tag: str, weight: float) -> DataFrame:
+    side = lambda c: F.sum(F.when(c, weight).otherwise(0.0))
+    return rows.groupBy("user", tag).agg(side(F.col("relevant")).alias("pos"), side(~F.col("relevant")).alias("neg"))
+
+
+# Weights of text, vector and proximity, at first and for users with more than five points.
+FUSION_WEIGHTS, VISUAL_WEIGHTS = (0.40, 0.40, 0.20), (0.30, 0.55, 0.15)
+
+
+def fusion_weights(profiles: DataFrame) -> DataFrame:
+    """(user, alpha, beta, gamma): the weights of a user's fused search, by the sum of the positive points of all tags."""
+    much = F.sum("pos") > 5.0
+    names = ("alpha", "beta", "gamma")
+    return profiles.groupBy("user").agg(*[F.when(much, b).otherwise(a).alias(n) for n, a, b in zip(names, FUSION_WEIGHTS, VISUAL_WEIGHTS)])
+
+
+def matching_cluster(sizes: DataFrame, keywords: DataFrame, instruction: str) -> DataFrame:
+    """One row (cluster, confidence, n, reduction): the cluster whose name and keywords an instruction holds most, the larger on ties.
+
+    ``sizes``: cluster, n; ``keywords``: cluster, term.  ``reduction`` is the
+    share of rows, in per cent, that need not be searched.
+    """
+    low = instruction.lower()
+    words = sorted(set(re.findall(r"\w+", low)))
+    held = keywords.where(F.lower("term").isin(*words)).groupBy("cluster").agg(F.count("*").alias("k"))
+    named = F.when(F.lit(low).contains(F.lower("cluster")), 3.0).otherwise(0.0)
+    scored = sizes.join(held, "cluster", "left").withColumn("score", named + 1.5 * F.coalesce("k", F.lit(0)))
+    best = scored.agg(F.max(F.struct("score", "n", "cluster")).alias("b"), F.sum("n").alias("total"))
+    confidence = F.round(F.least(F.lit(0.95), F.greatest(F.lit(0.50), 0.50 + 0.15 * F.col("b.score"))), 2)
+    return best.where("b is not null").select("b.cluster", confidence.alias("confidence"), "b.n", F.round((1.0 - F.col("b.n") / F.col("total")) * 100, 1).alias("reduction"))
+
+
 def top_tags(profiles: DataFrame, n: int = 5) -> DataFrame:
     """(user, tag, pos, place): the n best tags of each user."""
     w = Window.partitionBy("user").orderBy(F.desc("pos"), "tag")

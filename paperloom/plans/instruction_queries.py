@@ -241,3 +241,12 @@ def cluster_keywords(spark, d):
     c = F.col("extracted_text")
     rows = images(spark, d).where(c.isNotNull()).select(F.col("id").alias("doc_id"), R.cluster_of(c).alias("cluster"), F.substring(c, 1, 120).alias("text"))
     return P.keyword_weights(rows, "cluster", 5)
+
+
+@query(f"""WITH k AS ({keyword_sql(f"({_CLUSTERED})", "cluster")}), n AS (SELECT cluster, count(*) AS n FROM ({_CLUSTERED}) GROUP BY 1), w AS (SELECT cluster, count(*) AS k FROM k WHERE lower(term) IN ('find', 'bills', 'invoices', 'and', 'amount', 'payable', 'due', 'this', 'month') GROUP BY 1),
+ s AS (SELECT cluster, n, (CASE WHEN lower(cluster) = 'general' THEN 0 WHEN contains('find bills & invoices with amount payable due this month', lower(cluster)) THEN 3.0 ELSE 0 END) + 1.5 * coalesce(k, 0) AS score, sum(n) OVER () AS total FROM n LEFT JOIN w USING (cluster))
+SELECT cluster, round(least(0.95, greatest(0.5, 0.5 + 0.15 * score)), 2)::DOUBLE AS confidence, n, round((1.0 - n / total) * 100, 1)::DOUBLE AS reduction FROM s ORDER BY score DESC, n DESC, cluster DESC LIMIT 1""")
+def cluster_match(spark, d):
+    c = F.col("extracted_text")
+    rows = images(spark, d).where(c.isNotNull()).select(F.col("id").alias("doc_id"), R.cluster_of(c).alias("cluster"), F.substring(c, 1, 120).alias("text"))
+    return R.matching_cluster(rows.groupBy("cluster").agg(F.count("*").alias("n")), P.keyword_weights(rows, "cluster", 5), "Find bills & invoices with amount payable due this month")

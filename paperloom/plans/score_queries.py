@@ -202,6 +202,35 @@ def feedback_profile(spark, d):
     return R.top_tags(_profiles(spark, d), 5)
 
 
+def _feedback(spark, d):
+    return load(spark, d, "content_labels").where("rater is not null and label is not null").select(F.col("rater").alias("user"), "doc_id", (F.lower(F.trim("label")) == "none").alias("relevant"))
+
+
+def _side(weight: float) -> str:
+    return f"sum(CASE WHEN relevant THEN {weight} ELSE 0 END)::DOUBLE AS pos, sum(CASE WHEN relevant THEN 0 ELSE {weight} END)::DOUBLE AS neg"
+
+
+@query(f'SELECT "user", category, {_side(1.0)} FROM (SELECT f.*, d.doc_type AS category FROM ({_FB}) f JOIN documents d USING (doc_id)) WHERE category <> \'\' GROUP BY 1, 2')
+def feedback_categories(spark, d):
+    return R.category_profile(_feedback(spark, d), load(spark, d, "documents").select("doc_id", F.col("doc_type").alias("category")))
+
+
+_SEEN = """SELECT d.doc_id, lower(unnest(from_json(coalesce(json_extract(CASE WHEN json_valid(i.visual_metadata) THEN i.visual_metadata::JSON END, '$.objects'), '[]'), '["VARCHAR"]'))) AS tag FROM documents d JOIN images i ON i.id = d.doc_id"""
+
+
+@query(f'SELECT "user", tag, {_side(1.0)} FROM ({_FB}) f JOIN ({_SEEN}) s USING (doc_id) GROUP BY 1, 2')
+def feedback_objects(spark, d):
+    """Objects of the image of the same number as the judged document."""
+    objects = F.from_json("visual_metadata", "struct<objects:array<string>>")["objects"]
+    seen = load(spark, d, "images").select(F.col("id").alias("doc_id"), objects.alias("objects")).join(load(spark, d, "documents").select("doc_id"), "doc_id")
+    return R.object_profile(_feedback(spark, d), seen)
+
+
+@query(f'SELECT "user", CASE WHEN sum(pos) > 5 THEN 0.30 ELSE 0.40 END::DOUBLE AS alpha, CASE WHEN sum(pos) > 5 THEN 0.55 ELSE 0.40 END::DOUBLE AS beta, CASE WHEN sum(pos) > 5 THEN 0.15 ELSE 0.20 END::DOUBLE AS gamma FROM ({_TAGS}) GROUP BY 1')
+def feedback_weights(spark, d):
+    return R.fusion_weights(_profiles(spark, d))
+
+
 @query(f"""WITH t AS (SELECT tag, sum(pos) AS pos, sum(neg) AS neg FROM ({_TAGS}) GROUP BY 1), w AS (SELECT doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '\\s+'))) AS tag FROM documents), s AS (SELECT doc_id, sum(pos) AS pos, sum(neg) AS neg FROM w JOIN t USING (tag) GROUP BY 1)
 SELECT d.doc_id, round(greatest(0.01, 0.5 + least(0.40, 0.08 * coalesce(pos, 0)) - least(0.60, 0.15 * coalesce(neg, 0))), 4) AS score FROM documents d LEFT JOIN s USING (doc_id)""")
 def personalized_rank(spark, d):
