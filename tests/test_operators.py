@@ -87,9 +87,12 @@ def test_bernoulli_sums_to_one(spark):
 
 
 def test_measures(spark):
-    r = spark.createDataFrame([("q", 1, True, 2), ("q", 2, False, 2), ("q", 3, True, 2)], "q string, place int, relevant boolean, n_relevant long")
-    m = R.precision_measures(r, "q").first()
+    late = [("late", i, 1.0, i == 12) for i in range(1, 16)]  # the first relevant hit stands behind the ranked places
+    r = spark.createDataFrame([("q", 1, 3.0, True), ("q", 2, 2.0, False), ("q", 3, 1.0, True), *late, ("none", 1, 1.0, False)], "q string, id long, s double, relevant boolean")
+    by = {m.q: m for m in R.precision_measures(r, "q").collect()}
+    m = by["q"]
     assert m.ap == pytest.approx((1 + 2 / 3) / 2, abs=1e-4) and m.p5 == 0.4 and m.mrr == 1.0
+    assert (by["late"].ap, by["late"].p10, by["late"].mrr) == (0.0, 0.0, pytest.approx(1 / 12, abs=1e-4)) and by["none"].mrr == 0.0
 
 
 def test_graph_code(spark):
