@@ -162,7 +162,9 @@ def vocabulary_scores(terms: DataFrame, queries: tuple[str, ...], measure: Calla
             rows = [(q, w, s) for w in b["term"] for q in queries if (s := measure(q, w)) >= least]
             yield pd.DataFrame(rows, columns=["q", "term", "sim"])
 
-    return terms.select("term").distinct().mapInPandas(run, "q string, term string, sim double")
+    # a vocabulary is small in bytes, but each word costs Python time: it is spread over all cores
+    spread = terms.select("term").distinct().repartition(terms.sparkSession.sparkContext.defaultParallelism)
+    return spread.mapInPandas(run, "q string, term string, sim double")
 
 
 def fuzzy_vocabulary(docs: DataFrame, queries: tuple[str, ...], key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -209,12 +211,15 @@ def exact_search(images: DataFrame, query: str, least: float = 0.65) -> DataFram
     if not forms:
         return rows.select("id", F.lit(1.0).alias("score")).where("false")
     held = F.coalesce(_held(forms), F.lit(False))
-    whole = rows.where(held).select("id", F.lit(1.0).alias("score"))
+    # the searchable text is put together once; what follows reads flags and words only
+    words = F.when(~F.col("held"), F.array_distinct(F.concat(_name_words(), _body_words())))
+    read = Scratch(images.sparkSession).put(rows.withColumn("held", held).select("id", "held", words.alias("words")))
+    whole = read.where("held").select("id", F.lit(1.0).alias("score"))
     parts = {q: _query_words(q) for q in forms if not q.isdigit()}
     parts = {q: ws for q, ws in parts.items() if ws}
     if not parts:
         return whole
-    terms = rows.where(~held).select("id", F.explode(F.array_distinct(F.concat(_name_words(), _body_words()))).alias("term"))
+    terms = read.where("not held").select("id", F.explode("words").alias("term"))
     sims = vocabulary_scores(terms, tuple(dict.fromkeys(w for ws in parts.values() for w in ws)), lexical_word, 0.3)
     best = terms.join(sims, "term").groupBy("id").pivot("q", sorted({w for ws in parts.values() for w in ws})).agg(F.max("sim"))
     means = [sum((F.coalesce(F.col(f"`{w}`"), F.lit(0.0)) for w in ws), F.lit(0.0)) / float(len(ws)) for ws in parts.values()]
@@ -225,8 +230,8 @@ def exact_search(images: DataFrame, query: str, least: float = 0.65) -> DataFram
 def fuzzy_search(images: DataFrame, query: str, least: float = 0.65) -> DataFrame:
     """(id, score): mean over query words of the best typo similarity, raised by name hits and repeats, at most 0.99 a word."""
     words = tuple(_query_words(query))
-    rows = _searched(images)
-    terms = rows.select("id", F.explode(_name_words()).alias("term"), F.lit(1).alias("in_name")).unionByName(rows.select("id", F.explode(_body_words()).alias("term"), F.lit(0).alias("in_name")))
+    read = Scratch(images.sparkSession).put(_searched(images).select("id", _name_words().alias("name"), _body_words().alias("body")))
+    terms = read.select("id", F.explode("name").alias("term"), F.lit(1).alias("in_name")).unionByName(read.select("id", F.explode("body").alias("term"), F.lit(0).alias("in_name")))
     sims = vocabulary_scores(terms, words, fuzzy_word, 0.01)
     hits = terms.join(sims, "term")
     strong = F.col("sim") >= 0.74
