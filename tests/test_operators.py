@@ -137,3 +137,15 @@ def test_near_groups_are_greedy(spark):
                 canon.append((h, i))
         want[i] = first[h]
     assert got == want
+
+
+def test_near_groups_broadcast_nothing(spark, monkeypatch):
+    """However small Spark takes a table to be, none that grows with the images goes through the driver."""
+    from paperloom.operators import duplicates as D
+
+    plans, put = [], D.Scratch.put
+    monkeypatch.setattr(D.Scratch, "put", lambda self, df: (back := put(self, df), plans.append(df))[0])
+    images = spark.createDataFrame([(i, 1, None, f"{0x123456789abcdef0 ^ (1 << i % 7) ^ (i // 7 << 40):016x}", False) for i in range(60)], "id long, user_id long, sha256_hash string, phash string, is_quarantined boolean")
+    plans += [D.near_groups(images), D.cascade(images)]
+    physical = [p._jdf.queryExecution().executedPlan().toString() for p in plans]
+    assert len(physical) > 5 and any("SortMergeJoin" in p for p in physical) and not any("Broadcast" in p for p in physical)
