@@ -276,9 +276,12 @@ def telling_words(docs: list[list[str]], rated: list[tuple[int, str]]) -> dict[t
 
     A phrase speaks by the share of the kind among the other rated documents
     with it; the document itself is left out, so a wrong rating finds no
-    evidence.
+    evidence.  A rating names one kind of a document that may hold several, so
+    for the kind that most documents with the phrase are rated with, those
+    rated only with other kinds say nothing.
     """
     all_df: dict[str, int] = {}
+    none_df: dict[str, int] = {}
     of_kind: dict[str, dict[str, int]] = {k: {} for k in KINDS[1:]}
     kinds: dict[int, list[str]] = {}
     for i, k in rated:
@@ -290,10 +293,18 @@ def telling_words(docs: list[list[str]], rated: list[tuple[int, str]]) -> dict[t
             runs[i] = ph
         for p in {x for at in ph for x in at}:
             all_df[p] = all_df.get(p, 0) + 1
+            if i not in kinds:
+                none_df[p] = none_df.get(p, 0) + 1
             for k in kinds.get(i, ()):
                 of_kind[k][p] = of_kind[k].get(p, 0) + 1
     prior = {k: sum(1 for _, x in rated if x == k) / max(1, len(docs)) for k in KINDS[1:]}
-    return {(i, k): np.array([max((of_kind[k][p] - 1 + prior[k]) / all_df[p] for p in at) - SHARE for at in runs[i]]) * 2.5 for i, k in rated}
+
+    def share(k: str, p: str) -> float:
+        own = of_kind[k][p]
+        leads = own - 1 >= max(of_kind[o].get(p, 0) for o in KINDS[1:] if o != k)
+        return (own - 1 + prior[k]) / (own + none_df.get(p, 0) if leads else all_df[p])
+
+    return {(i, k): np.array([max(share(k, p) for p in at) - SHARE for at in runs[i]]) * 2.5 for i, k in rated}
 
 
 #: Thresholds that are tried.

@@ -34,3 +34,18 @@ def test_many_texts_score_like_one():
     many = model.scores_of(texts)
     assert many.shape == (8, 4) and np.allclose(many, np.vstack([model.scores(t) for t in texts])) and np.allclose(many.sum(1)[:2], 1.0)
     assert (many[2] == many[7]).all() and many[0, 0] == 1.0 and model.scores_of([]).shape == (0, 4)
+
+
+def test_ratings_with_another_kind_are_no_evidence_against_a_phrase():
+    """A document with an offer and an insult is rated with one of them."""
+    offer, insult = "i want to undress you and take you to bed", "you stupid worthless clown"
+    texts = [f"{offer} {i}" for i in range(10)] + [f"{offer} {w} {insult}" for w in ("memo", "oven", "lamp", "desk", "road", "gate", "bill", "pump")] + [f"{insult} {i}" for i in range(20)] + ["the bill is paid"] * 30
+    kinds = ["sexual"] * 10 + ["abusive"] * 7 + ["sexual"] + ["abusive"] * 20
+    docs = [abuse.words(t) for t in texts]
+    told = abuse.telling_words(docs, list(enumerate(kinds)))
+    spans = {key: abuse.best_span(v, 0.0) for key, v in told.items()}
+    assert all(spans[i, "sexual"][2] >= abuse.EVIDENCE for i in range(10))
+    a, b, _ = spans[17, "sexual"]
+    assert " ".join(docs[17][a:b]) == offer
+    a, b, _ = spans[12, "abusive"]
+    assert " ".join(docs[12][a:b]) == insult
