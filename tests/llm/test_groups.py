@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import groups, increments, survivor
 
@@ -45,6 +46,14 @@ def test_components_empty(spark):
     assert groups.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_make_a_plan_in_proportion(spark):
+    """Each round reads the state of the round before once; read twice, the plan doubles every round and fills the driver."""
+    edges = groups._edges(spark.createDataFrame([(7, i) for i in range(500)], "a long, b long")).withColumn("level", F.lit(0))
+    plan = groups.decompose(edges)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == groups.ROUNDS and "Broadcast" not in plan
+    assert plan.count("HashAggregate") + plan.count("SortAggregate") < 10 * (groups.ROUNDS + 1)
+
+
 def row(i, canonical=None, user=1, sha=None, ph=None, quarantined=False, at=None, text=None, width=None, category=None, entities=None):
     return (i, canonical, user, sha, ph, quarantined, at, None, text, category, None, "-", "0000-00-00", " ", entities, "N/A", width, 99, "x")
 
